@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, preferences, pseudonyms, quality, spotsigs, url_filter
+from . import licenses, mixing, packing, preferences, pseudonyms, quality, spotsigs, url_filter
 from .common import table
 
+#: Vocabulary files, on every worker.
+TOKENIZERS = os.environ.get("CHAINLOG_TOKENIZERS") or "/opt/tokenizers"
+
+
+def op1_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.pieces_of(packing.pack_documents(docs, f"{TOKENIZERS}/byte_bpe_50k.json", end_id=0))
+
 
 def op2_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -66,5 +76,5 @@ def op10_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_feistel_pseudonyms, op3_bloom_cascade, op4_preference_format, op5_spotsigs, op6_quality_rules, op8_license_dice, op10_systematic_mix)
+    for f in (op1_vector_packing, op2_feistel_pseudonyms, op3_bloom_cascade, op4_preference_format, op5_spotsigs, op6_quality_rules, op8_license_dice, op10_systematic_mix)
 }
