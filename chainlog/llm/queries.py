@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, packing, preferences, pseudonyms, quality, spotsigs, url_filter
-from .common import table
+from . import licenses, mixing, packing, preferences, pseudonyms, quality, records, spotsigs, url_filter
+from .common import shared_dir, table
 
 #: Vocabulary files, on every worker.
 TOKENIZERS = os.environ.get("CHAINLOG_TOKENIZERS") or "/opt/tokenizers"
@@ -55,6 +55,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "records")
+    index = records.write_records(table(spark, sf_dir, "documents"), path, f"{TOKENIZERS}/word_bpe_49k.json", end_id=2)
+    return records.read_records(index, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op8_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     best = F.array_max(F.transform("license_lines", lambda x: F.struct(x["dice"].alias("d"), (-x["line"]).alias("l"), x["license"].alias("n"))))
@@ -76,5 +82,5 @@ def op10_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_vector_packing, op2_feistel_pseudonyms, op3_bloom_cascade, op4_preference_format, op5_spotsigs, op6_quality_rules, op8_license_dice, op10_systematic_mix)
+    for f in (op1_vector_packing, op2_feistel_pseudonyms, op3_bloom_cascade, op4_preference_format, op5_spotsigs, op6_quality_rules, op7_record_files, op8_license_dice, op10_systematic_mix)
 }
