@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.workers import let_workers_import
 from .tokens import encoder
 
 POOL = 1024
@@ -178,6 +179,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc
 
         yield from _batches(examples(), limits, cut=True)
 
+    let_workers_import(docs.sparkSession)
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SCHEMA)
 
 
@@ -194,6 +196,7 @@ def pack_examples(examples: DataFrame, key: str = "doc_id", ids: str = "ids", lo
 
         yield from _batches(rows(), limits, cut)
 
+    let_workers_import(examples.sparkSession)
     return examples.select(F.col(key).cast("long").alias("doc_id"), F.col(ids).cast("array<int>").alias("ids"), first.cast("int").alias("first")).mapInArrow(run, SCHEMA)
 
 

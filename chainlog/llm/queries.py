@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, packing, preferences, pseudonyms, quality, records, spotsigs, url_filter
+from . import licenses, mixing, near_dups, packing, preferences, pseudonyms, quality, records, spotsigs, url_filter
 from .common import shared_dir, table
 
 #: Vocabulary files, on every worker.
@@ -74,6 +74,11 @@ def op8_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_icws_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = near_dups.near_classes(table(spark, sf_dir, "documents"))
+    return df.select("doc_id", "class_id", (F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("is_first"))
+
+
 def op10_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     df = mixing.take(mixing.sized(docs).select("doc_id", "source", "size"), "doc_id", "source", "size")
@@ -82,5 +87,5 @@ def op10_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_vector_packing, op2_feistel_pseudonyms, op3_bloom_cascade, op4_preference_format, op5_spotsigs, op6_quality_rules, op7_record_files, op8_license_dice, op10_systematic_mix)
+    for f in (op1_vector_packing, op2_feistel_pseudonyms, op3_bloom_cascade, op4_preference_format, op5_spotsigs, op6_quality_rules, op7_record_files, op8_license_dice, op9_icws_near_dups, op10_systematic_mix)
 }

@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.workers import let_workers_import
 from .tokens import encoder
 
 HEAD = "<BBqI"
@@ -167,6 +168,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, key:
         if sink is not None:
             sink.close()
 
+    let_workers_import(docs.sparkSession)
     df = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     df = df.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     df.mapInArrow(run, INDEX).write.parquet(f"{path}/index")
@@ -218,6 +220,7 @@ def read_records(index: DataFrame, path: str) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds.values())], list(kinds))
 
+    let_workers_import(index.sparkSession)
     return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 

@@ -4,26 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chainlog.llm import mixing, pseudonyms, quality
+from chainlog.llm import mixing, near_dups, packing, pseudonyms, quality
 from chainlog.llm.common import table, written
+from chainlog.llm.queries import TOKENIZERS
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the threshold table."""
     return quality.keep_good(docs)
 
 
+def near_dup_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return near_dups.keep_one(docs)
+
+
 def pii_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal numbers, dates and addresses replaced by pseudonyms."""
     return pseudonyms.pseudonymise(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
     return mixing.mixed(docs)
 
 
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 1,024 token ids, and where each document's pieces lie."""
+    return packing.pack_documents(docs, f"{TOKENIZERS}/byte_bpe_50k.json", end_id=0)
+
+
 STAGES = [
     ("quality_rules", quality_rules),
+    ("near_dup_removal", near_dup_removal),
     ("pii_pseudonyms", pii_pseudonyms),
     ("source_mix", source_mix),
+    ("packed", packed),
 ]
 
 #: Near-dedup and packing have no SQL form; tests/llm holds the pipeline against a brute-force version.
@@ -31,6 +47,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows over documents; each stage is written as Parquet and read again as the next one's documents."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
