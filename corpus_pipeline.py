@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chainlog.llm import mixing, near_dups, packing, pseudonyms, quality
 from chainlog.llm.common import table, written
@@ -20,8 +21,8 @@ def near_dup_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pii_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal numbers, dates and addresses replaced by pseudonyms."""
-    return pseudonyms.pseudonymise(docs)
+    """All documents, with personal numbers, dates and addresses replaced by pseudonyms; n_chars follows."""
+    return pseudonyms.pseudonymise(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
