@@ -25,11 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.workers import let_workers_import
+from ..functions.workers import let_workers_import, small_batches
 from .tokens import encoder
 
-POOL = 1024
+POOL = 512
 ROWS_OUT = 256
+FREE = 1 << 40
 
 SCHEMA = (
     "sequence_id long, input_ids binary, n_tokens int, n_loss int, "
@@ -49,9 +50,8 @@ class Packer:
 
     def __init__(self, limits: Limits, cut: bool):
         self.limits, self.cut = limits, cut
-        self.cap = np.array([limits.tokens, limits.segments, limits.loss], float)
         self.items: list[list | None] = [None] * POOL  # [doc, ids, start, total, loss_from]
-        self.need = np.zeros((POOL, 3))  # tokens, segments, loss; all 0 where the slot is free
+        self.tokens, self.loss = np.full(POOL, FREE), np.full(POOL, FREE)  # each has one segment; FREE fits nowhere
         self.free = list(range(POOL))
 
     def _demand(self, item: list) -> tuple[int, int, int]:
@@ -61,7 +61,8 @@ class Packer:
 
     def _put(self, item: list) -> None:
         slot = self.free.pop()
-        self.items[slot], self.need[slot] = item, self._demand(item)
+        self.items[slot] = item
+        self.tokens[slot], _, self.loss[slot] = self._demand(item)
 
     def add(self, doc, ids: np.ndarray, loss_from: int) -> Iterator[list[list]]:
         total, size = len(ids), self.limits.tokens
@@ -78,7 +79,7 @@ class Packer:
             yield from self._add_one([doc, ids[start:], start, total, loss_from])
 
     def _add_one(self, item: list) -> Iterator[list[list]]:
-        if (np.array(self._demand(item)) > self.cap).any():
+        if any(x > y for x, y in zip(self._demand(item), (self.limits.tokens, self.limits.segments, self.limits.loss))):
             raise ValueError(f"example {item[0]} exceeds the limits by itself")
         if not self.free:
             yield self._fill()
@@ -86,24 +87,27 @@ class Packer:
 
     def _fill(self) -> list[list]:
         """The next sequence's items."""
-        left, out = self.cap.copy(), []
-        while True:
-            fits = (self.need <= left).all(axis=1) & (self.need[:, 1] > 0)
-            if not fits.any():
+        cap = self.limits
+        tokens, segments, loss = cap.tokens, cap.segments, cap.loss
+        out = []
+        while segments:
+            score = self.tokens * (tokens / cap.tokens**2) + self.loss * (loss / cap.loss**2)  # the segment's part is the same for all
+            score[(self.tokens > tokens) | (self.loss > loss)] = -1
+            slot = int(score.argmax())
+            if score[slot] < 0:
                 break
-            score = self.need @ (left / self.cap**2)
-            slot = int(np.argmax(np.where(fits, score, -1.0)))
             out.append(self.items[slot])
-            left -= self.need[slot]
-            self.items[slot], self.need[slot] = None, 0
+            tokens, segments, loss = tokens - int(self.tokens[slot]), segments - 1, loss - int(self.loss[slot])
+            self.items[slot] = None
+            self.tokens[slot] = self.loss[slot] = FREE
             self.free.append(slot)
-        gap = int(min(left[0], left[2] + 1))
-        if self.cut and gap > 0 and left[1] >= 1 and len(self.free) < POOL:
-            slot = int(np.argmax(self.need[:, 0]))
+        gap = min(tokens, loss + 1)
+        if self.cut and gap > 0 and segments and len(self.free) < POOL:
+            slot = int(np.where(self.tokens == FREE, -1, self.tokens).argmax())
             doc, ids, start, total, loss_from = self.items[slot]
             out.append([doc, ids[:gap], start, total, loss_from])
             self.items[slot] = [doc, ids[gap:], start + gap, total, loss_from]
-            self.need[slot] = self._demand(self.items[slot])
+            self.tokens[slot], _, self.loss[slot] = self._demand(self.items[slot])
         return out
 
     def rest(self) -> Iterator[list[list]]:
@@ -116,7 +120,7 @@ class Packer:
             return [total]
         return [1 << b for b in range(total.bit_length() - 1, -1, -1) if total >> b & 1]
 
-    def rows(self, filled: list[list]) -> Iterator[tuple[bytes, int, list[dict]]]:
+    def rows(self, filled: list[list]) -> Iterator[tuple[bytes, int, list[tuple]]]:
         filled = list(filled)
         for size in self.lengths(sum(len(x[1]) for x in filled)):
             ids, pieces, loss, at = [], [], 0, 0
@@ -126,13 +130,19 @@ class Packer:
                     filled.insert(0, [doc, have[size - at :], start + size - at, total, loss_from])
                     have = have[: size - at]
                 ids.append(have.tobytes())
-                pieces.append({"doc_id": doc, "start": start, "length": len(have), "offset": at, "doc_tokens": total})
+                pieces.append((doc, start, len(have), at, total))
                 loss += self._demand([doc, have, start, total, loss_from])[2]
                 at += len(have)
             yield b"".join(ids), loss, pieces
 
 
-PIECES = pa.list_(pa.struct([(c, pa.int64()) for c in ("doc_id", "start", "length", "offset", "doc_tokens")]))
+PIECE = ("doc_id", "start", "length", "offset", "doc_tokens")
+
+
+def _pieces(rows: list[list[tuple]]) -> pa.Array:
+    flat = list(zip(*(p for r in rows for p in r)))
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in flat], list(PIECE)))
 
 
 def _batches(examples: Iterator[tuple], limits: Limits, cut: bool) -> Iterator[pa.RecordBatch]:
@@ -144,9 +154,9 @@ def _batches(examples: Iterator[tuple], limits: Limits, cut: bool) -> Iterator[p
         nonlocal number
         ids = [number + i for i in range(len(rows))]
         number += len(rows)
-        data = [ids, [r[0] for r in rows], [len(r[0]) // 4 for r in rows], [r[1] for r in rows], [r[2] for r in rows]]
-        kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), PIECES)
-        batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(data, kinds)], ["sequence_id", "input_ids", "n_tokens", "n_loss", "pieces"])
+        data = [(ids, pa.int64()), ([r[0] for r in rows], pa.binary()), ([len(r[0]) // 4 for r in rows], pa.int32()), ([r[1] for r in rows], pa.int32())]
+        columns = [*[pa.array(x, t) for x, t in data], _pieces([r[2] for r in rows])]
+        batch = pa.RecordBatch.from_arrays(columns, ["sequence_id", "input_ids", "n_tokens", "n_loss", "pieces"])
         rows.clear()
         return batch
 
@@ -180,6 +190,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc
         yield from _batches(examples(), limits, cut=True)
 
     let_workers_import(docs.sparkSession)
+    small_batches(docs.sparkSession)
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SCHEMA)
 
 
@@ -197,6 +208,7 @@ def pack_examples(examples: DataFrame, key: str = "doc_id", ids: str = "ids", lo
         yield from _batches(rows(), limits, cut)
 
     let_workers_import(examples.sparkSession)
+    small_batches(examples.sparkSession)
     return examples.select(F.col(key).cast("long").alias("doc_id"), F.col(ids).cast("array<int>").alias("ids"), first.cast("int").alias("first")).mapInArrow(run, SCHEMA)
 
 

@@ -1,8 +1,8 @@
 """Token ids of whole texts by the tokenizers library, with a cache of the pieces between spaces.
 
 The vocabularies split a text at white space before any merge, so a text's ids are its pieces' ids in a row. A piece is what
-lies between two line feeds or spaces, with the space before it. A piece of letters, with full stops or commas after them,
-goes to the library's merges as it is; any other goes through the whole tokenizer. Texts in which white space follows white
+lies between two line feeds or spaces, with what is before it. Letters, with full stops or commas after them, go to the
+library's merges as they are; any other piece goes through the whole tokenizer. Texts in which white space follows white
 space, other white space, a zero character or a special token's mark occurs, or that start or end in white space, are
 encoded as a whole. So the ids are the library's for every text, which the tests hold against it.
 """
@@ -17,7 +17,7 @@ import numpy as np
 
 #: White space that does not separate pieces here, and the mark of special tokens.
 ODD = re.compile("[\0\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]|<\\|")
-MAX_PIECES = 500_000
+MAX_PIECES = 600_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -40,6 +40,8 @@ class Pieces(dict):
         self.letters = byte_letters()
         normal = [x["type"] for x in (json.loads(self.library.to_str())["normalizer"] or {}).get("normalizers", [])]
         self.lower = "Lowercase" in normal  # such vocabularies also drop white space and compose letters
+        self.feed = self.plain("\n")
+        self.stops = {c: self.plain(c) for c in ".,"}
 
     def plain(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -48,24 +50,33 @@ class Pieces(dict):
         return [t.id for t in self.merges.tokenize(pretoken.encode().decode("latin-1").translate(self.letters))]
 
     def __missing__(self, piece: str) -> bytes:
+        """A piece is a word with a space before it, or a line feed with a word after it."""
         if len(self) >= MAX_PIECES:
             self.clear()
-        word = piece[1:] if piece[:1] == " " else piece
+        if piece[:1] == "\n":
+            found = self.feed + self.word(piece[1:], "") if len(piece) > 1 else self.feed
+        elif piece[-1:] in (".", ",") and piece[-2:-1].isalpha() and not (self.lower and piece[-2] > "\xff"):
+            found = self[piece[:-1]] + self.stops[piece[-1]]
+        else:
+            found = self.word(piece, " ")
+        self[piece] = found
+        return found
+
+    def word(self, word: str, space: str) -> bytes:
+        """The ids of a text without white space, after the given space."""
         stem = word.rstrip(".,")
         if stem.isalpha() and not (self.lower and max(stem) > "\xff"):
-            ids = self.merged(stem.lower() if self.lower else piece[: len(piece) - len(word) + len(stem)])
+            ids = self.merged(stem.lower() if self.lower else space + stem)
             if len(stem) < len(word):
                 ids += self.merged(word[len(stem) :])
-            found = np.array(ids, self.dtype).tobytes()
-        else:
-            found = self.plain(piece)
-        self[piece] = found
-        return found
+            return np.array(ids, self.dtype).tobytes()
+        return self.plain(space + word)
 
     def encode(self, text: str) -> bytes:
         if not text or text[-1].isspace() or text[0].isspace() or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or ODD.search(text):
             return self.plain(text)
-        return b"".join([self[p] for p in text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")])
+        first, *rest = text.replace("\n", " \n").split(" ")
+        return self.word(first, "") + b"".join([self[p] for p in rest])
 
 
 _known: dict[tuple[str, str], Pieces] = {}
