@@ -51,8 +51,9 @@ def template_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(w, w[1:])})
 
 
-def size_bounds(n: int, threshold: float) -> tuple[float, float]:
-    return threshold / (2 - threshold) * n, (2 - threshold) / threshold * n
+def size_bounds(n: int, threshold: float) -> tuple[int, int]:
+    """The least and the largest number of bigrams that reach the threshold with n in the template."""
+    return math.ceil(threshold / (2 - threshold) * n - 1e-9), math.floor((2 - threshold) / threshold * n + 1e-9)
 
 
 def best_template(grams: Column, templates: dict[str, str], threshold: float) -> Column:
@@ -72,7 +73,7 @@ def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] = TEMPLA
 
     Lines whose number of words no template allows are dropped before bigrams are made.
     """
-    low = math.ceil(min(size_bounds(len(template_bigrams(t)), threshold)[0] for t in templates.values())) + 1  # words
+    low = min(size_bounds(len(template_bigrams(t)), threshold)[0] for t in templates.values()) + 1  # words
     out, lines = "license_lines", "__license_lines"
     numbered = F.transform(F.split(F.coalesce(docs[text], F.lit("")), "\n", -1), lambda x, i: F.struct((i + 1).alias("line"), x.alias("t")))
     words_in = F.transform(F.filter(numbered, lambda x: F.length(x["t"]) >= 2 * low - 1), lambda x: F.struct(x["line"].alias("line"), normalised(x["t"]).alias("w")))

@@ -134,16 +134,17 @@ def _licenses() -> str:
     rows = []
     for i, name in enumerate(sorted(licenses.TEMPLATES)):
         own = licenses.template_bigrams(licenses.TEMPLATES[name])
-        rows.append(f"({i}, '{name}', {_strings(own)})")
+        low, high = licenses.size_bounds(len(own), t)
+        rows.append(f"({i}, '{name}', {_strings(own)}, {low}, {high})")
     return rf"""
-WITH t(o, name, g) AS (VALUES {", ".join(rows)}),
+WITH t(o, name, g, low, high) AS (VALUES {", ".join(rows)}),
 d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 l AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM d),
 w AS (SELECT doc_id, i, list_filter(regexp_split_to_array(lower(line), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM l),
 b AS (SELECT doc_id, i, list_distinct([w[j] || ' ' || w[j + 1] for j in range(1, len(w))]) AS g FROM w WHERE len(w) > 1),
 p AS (
   SELECT doc_id, i, o, name, 2.0::DOUBLE * len(list_intersect(b.g, t.g)) / (len(b.g) + len(t.g)) AS dice FROM b, t
-  WHERE len(b.g) BETWEEN {t / (2 - t)}::DOUBLE * len(t.g) AND {(2 - t) / t}::DOUBLE * len(t.g)
+  WHERE len(b.g) BETWEEN t.low AND t.high
 ),
 best AS (SELECT doc_id, i, name, dice FROM p WHERE dice >= {t}::DOUBLE QUALIFY row_number() OVER (PARTITION BY doc_id, i ORDER BY dice DESC, o) = 1),
 top AS (SELECT doc_id, name, i, dice FROM best QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, i) = 1),
