@@ -1,0 +1,66 @@
+import random
+from collections import defaultdict
+
+import pytest
+
+from chainlog.llm import mixing as m
+
+
+def test_shares():
+    assert m.shares([100, 100, 100], [1, 2, 3], 3) == [50, 100, 150]
+    assert m.shares([10, 1000, 10], [1, 2, 3], 3) == [30.0, 960.0, 30.0]
+    assert m.shares([5], [1], 3) == [5]
+    assert sum(m.shares([7, 0, 90, 3], [1, 2, 3, 1], 3)) == pytest.approx(100)
+
+
+def rows(seed, n=3000):
+    rng = random.Random(seed)
+    return [(i, rng.choice(["a"] * 6 + ["b", "c", None]), " ".join(["w"] * int(rng.lognormvariate(3, 1)))) for i in range(n)]
+
+
+def test_targets_are_met_and_no_document_exceeds_its_limit(spark):
+    df = spark.createDataFrame(rows(1), "doc_id long, source string, text string")
+    got = m.take(m.sized(df), "doc_id", "source", "size").collect()
+    assert len(got) == 3000
+    taken, target, size = defaultdict(int), {}, defaultdict(int)
+    for r in got:
+        assert 0 <= r["copies"] <= 3 and r["size"] == len((r["text"] or "").split())
+        taken[r["source"]] += r["copies"] * r["size"]
+        target[r["source"]], size[r["source"]] = r["target"], r["source_size"]
+    assert sum(target.values()) == pytest.approx(sum(size.values()))
+    for s in target:
+        assert abs(taken[s] - target[s]) < 0.03 * target[s], s
+
+
+def test_one_copy_for_each_boundary(spark):
+    """Against a plain prefix sum in the operator's order."""
+    import hashlib
+
+    data = rows(2, 500)
+    df = spark.createDataFrame(data, "doc_id long, source string, text string")
+    got = {r["doc_id"]: r for r in m.take(m.sized(df), "doc_id", "source", "size").collect()}
+    groups = defaultdict(list)
+    for i, s, _ in data:
+        size = got[i]["size"]
+        unit = 10 ** max(0, len(str(size)) - 2)
+        groups[s].append((size // unit * unit, hashlib.md5(f"mix{i}".encode()).hexdigest(), i))
+    for s, items in groups.items():
+        offset = int(hashlib.md5(f"mix/{s or ''}".encode()).hexdigest()[:4], 16) / 65536
+        for k, (_, _, i) in enumerate(sorted(items)):
+            rate = got[i]["target"] / got[i]["source_size"]
+            assert got[i]["copies"] == int((k + 1) * rate + offset) - int(k * rate + offset)
+
+
+def test_edges_and_reruns(spark):
+    data = [(1, "a", None), (1, "a", None), (2, None, "x y"), (None, "a", "z"), (None, None, None), (5, "b", "long " * 5000)]
+    df = spark.createDataFrame([(*r, 9) for r in data], "doc_id long, source string, text string, copies int")
+    first = m.take(m.sized(df), "doc_id", "source", "size")
+    assert first.count() == len(data)
+    mixed = m.mixed(df)
+    assert mixed.columns == df.columns
+    assert sorted(map(str, mixed.collect())) == sorted(map(str, m.mixed(df).collect()))
+
+
+def test_only_empty_texts(spark):
+    df = spark.createDataFrame([(1, "a", ""), (2, "b", None)], "doc_id long, source string, text string")
+    assert [(r["target"], r["copies"]) for r in m.take(m.sized(df), "doc_id", "source", "size").collect()] == [(0.0, 0)] * 2
