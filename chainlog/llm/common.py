@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_folder as shared_dir
+from ..sources.tables import written
+
+__all__ = ["bind", "shared_dir", "table", "words", "written"]
+
 #: Characters that end a word: space and \t \n \v \f \r.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -33,23 +36,3 @@ def words(text: Column) -> Column:
 def bind(value: Column, body) -> Column:
     """body(value) with the value worked out once, even if the body's lambdas name it often."""
     return F.transform(F.array(value), body)[0]
-
-
-def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder's path below spark.checkpoint.dir, which driver and executors share.
-
-    Where the setting is unset, as in tests, a folder of the working directory's warehouse is set as the session's own.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, purpose: str) -> DataFrame:
-    """The frame as a table in the shared folder: cuts lineage and outlives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark, purpose)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
