@@ -27,14 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.workers import let_workers_import
+from ..functions.workers import let_workers_import, small_batches
 from .tokens import encoder
 
 HEAD = "<BBqI"
 LENGTH, CHECK = 8, 4
 FRAME = LENGTH + 2 * CHECK
 BLOCK = 1024
-READ_BYTES = 8 << 20
+READ_BYTES = 2 << 20
 INDEX = "shard long, file string, ordinal long, offset long, length long, doc_id long, start_in_file long, n_tokens long"
 POLYNOMIAL = 0x82F63B78
 
@@ -169,6 +169,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, key:
             sink.close()
 
     let_workers_import(docs.sparkSession)
+    small_batches(docs.sparkSession)
     df = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     df = df.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     df.mapInArrow(run, INDEX).write.parquet(f"{path}/index")
@@ -221,6 +222,7 @@ def read_records(index: DataFrame, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds.values())], list(kinds))
 
     let_workers_import(index.sparkSession)
+    small_batches(index.sparkSession)
     return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
