@@ -48,11 +48,17 @@ def kind_objects(df: DataFrame, kind: str, order: tuple[str, ...] = ("timeStamp"
     return out.select(F.concat(F.lit(f"{kind}_"), F.col(column).cast("string")).alias("ocel:oid"), F.lit(kind).alias("ocel:type"), "category")
 
 
-def ocel_objects(df: DataFrame) -> DataFrame:
-    """All objects; a kind is left out if one of its two columns is missing."""
-    parts = [eoa_objects(df)] if {"sender", "target"} & set(df.columns) else []
-    parts += [kind_objects(df, k) for k, need in KINDS.items() if set(need) <= set(df.columns)]
-    return reduce(DataFrame.unionByName, parts)
+def ocel_objects(df: DataFrame, order: tuple[str, ...] = ("timeStamp", "tracePos")) -> DataFrame:
+    """All objects in one pass: each step names those it touches, and each is kept once with its first known category. A kind is
+    left out if one of its two columns is missing."""
+    have = set(df.columns)
+    pairs = [(c, "EOA", F.lit("EOA")) for c in ("sender", "target") if c in have]
+    pairs += [(c, kind, F.col(category).cast("string")) for kind, (c, category) in KINDS.items() if {c, category} <= have]
+    named = F.array(*[F.struct(F.concat(F.lit(f"{kind}_"), F.col(c).cast("string")).alias("oid"), F.lit(kind).alias("type"), category.alias("category")) for c, kind, category in pairs])
+    each = df.select(*[c for c in order if c in have], F.explode(named).alias("o")).where("o.oid IS NOT NULL")
+    place = F.struct(*[c for c in order if c in have], "o.category")
+    first = F.min_by("o.category", F.when(F.col("o.category").isNotNull(), place))
+    return each.groupBy(F.col("o.oid").alias("ocel:oid"), F.col("o.type").alias("ocel:type")).agg(first.alias("category"))
 
 
 def ocel_e2o(df: DataFrame) -> DataFrame:
