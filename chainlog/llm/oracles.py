@@ -17,7 +17,8 @@ def _strings(values) -> str:
 def _quality() -> str:
     bad = []
     for r in quality.RULES:
-        bad += [f"1000 * {r.part} < {r.low} * {r.whole}"] * (r.low is not None) + [f"1000 * {r.part} > {r.high} * {r.whole}"] * (r.high is not None)
+        tests = [f"1000 * {r.part} < {r.low} * {r.whole}"] * (r.low is not None) + [f"1000 * {r.part} > {r.high} * {r.whole}"] * (r.high is not None)
+        bad += [f"n_words >= {r.from_words} AND {t}" for t in tests]
     return rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, {_words("text")} AS w,

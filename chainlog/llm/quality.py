@@ -18,21 +18,25 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Rule:
-    """Holds if low * whole <= 1000 * part <= high * whole; a bound of None is open. Shares are in thousandths."""
+    """Holds if low * whole <= 1000 * part <= high * whole; a bound of None is open. Shares are in thousandths.
+
+    Texts of fewer than from_words words are too short for the rule and pass it.
+    """
 
     name: str
     part: str
     whole: str
     low: int | None = None
     high: int | None = None
+    from_words: int = 0
 
 
 #: The production table: lengths, symbols, stop words and lines.
 RULES = (
     Rule("mean_word_length", "word_chars", "n_words", 2_000, 12_000),
     Rule("symbol_share", "n_symbols", "word_chars", None, 80),
-    Rule("stop_word_share", "n_stop_words", "n_words", 20, None),
-    Rule("duplicate_line_share", "n_dup_lines", "n_lines", None, 300),
+    Rule("stop_word_share", "n_stop_words", "n_words", 20, None, from_words=50),
+    Rule("duplicate_line_share", "n_dup_lines", "n_lines", None, 500),
     Rule("shouted_share", "n_upper", "word_chars", None, 500),
 )
 
@@ -104,7 +108,7 @@ def failed(rules: tuple[Rule, ...], of) -> Column:
             bad = bad | (part < F.lit(r.low) * whole)
         if r.high is not None:
             bad = bad | (part > F.lit(r.high) * whole)
-        out.append(F.when(bad, F.lit(r.name)))
+        out.append(F.when(bad & (of("n_words") >= r.from_words) if r.from_words else bad, F.lit(r.name)))
     return F.array_compact(F.array(*out))
 
 
