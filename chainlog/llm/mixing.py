@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import written
 
 #: Rows that a cell holds on average, at most.
 CELL_ROWS = 2048
@@ -64,18 +64,19 @@ def band(size: Column) -> Column:
 
 def take(df: DataFrame, key: str, source: str, size: str, mix: Mix = Mix()) -> DataFrame:
     """Adds source_size, target and copies (0 or more) to every row of a frame that has a size in words."""
-    spark = df.sparkSession
-    fit = F.broadcast(source_targets(df, source, size, mix))  # a row per source
-    n = df.count()
+    slim = written(df.select(key, source, size), "sizes")  # so that texts are not counted again for each of the counts below
+    df = slim if set(df.columns) == {key, source, size} else df
+    fit = F.broadcast(source_targets(slim, source, size, mix))  # a row per source
+    n = slim.count()
     bits = max(1, (n // CELL_ROWS).bit_length())
-    made = df.withColumns({
-        "__mix_band": band(df[size]),
-        "__mix_hash": F.md5(F.concat(F.lit(mix.seed), F.coalesce(df[key].cast("string"), F.lit("")))),
-    })
-    made = made.withColumn("__mix_cell", F.shiftright(F.conv(F.substring("__mix_hash", 1, 12), 16, 10).cast("long"), max(0, 48 - bits)))
-    made = made.withColumn("__mix_source", F.col(source))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        digest = F.md5(F.concat(F.lit(mix.seed), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+        rows = rows.withColumns({"__mix_source": F.col(source), "__mix_band": band(F.col(size)), "__mix_hash": digest})
+        return rows.withColumn("__mix_cell", F.shiftright(F.conv(F.substring("__mix_hash", 1, 12), 16, 10).cast("long"), max(0, 48 - bits)))
+
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    cells = made.groupBy("__mix_source", "__mix_band", "__mix_cell").agg(F.count("*").alias("__mix_n"))
+    cells = placed(slim).groupBy("__mix_source", "__mix_band", "__mix_cell").agg(F.count("*").alias("__mix_n"))
     bands = cells.groupBy("__mix_source", "__mix_band").agg(F.sum("__mix_n").alias("__mix_n"))
     in_source = before(Window.partitionBy("__mix_source").orderBy("__mix_band"))
     bands = bands.select("__mix_source", "__mix_band", F.coalesce(F.sum("__mix_n").over(in_source), F.lit(0)).alias("__mix_first"))
@@ -86,7 +87,7 @@ def take(df: DataFrame, key: str, source: str, size: str, mix: Mix = Mix()) -> D
     at = cells.join(bands, (F.col("b.__mix_source").eqNullSafe(F.col("c.__mix_source"))) & (F.col("b.__mix_band") == F.col("c.__mix_band")))
     at = at.select("c.__mix_source", "c.__mix_band", "c.__mix_cell", (F.col("__mix_first") + F.col("__mix_within")).alias("__mix_start"))
     in_cell = Window.partitionBy("__mix_source", "__mix_band", "__mix_cell").orderBy("__mix_hash", key)
-    ranked = made.withColumn("__mix_rank", F.row_number().over(in_cell) - 1)
+    ranked = placed(df).withColumn("__mix_rank", F.row_number().over(in_cell) - 1)
     ranked = ranked.join(at, same(ranked, at, ("__mix_source", "__mix_band", "__mix_cell"))).drop(*[at[c] for c in ("__mix_source", "__mix_band", "__mix_cell")])
     ranked = ranked.join(fit, ranked["__mix_source"].eqNullSafe(fit["__mix_source"])).drop(fit["__mix_source"])
     rate = F.when(F.col("source_size") == 0, 0.0).otherwise(F.col("target") / F.col("source_size"))
@@ -98,7 +99,8 @@ def take(df: DataFrame, key: str, source: str, size: str, mix: Mix = Mix()) -> D
 
 
 def sized(docs: DataFrame, text: str = "text", name: str = "size") -> DataFrame:
-    return docs.withColumn(name, F.size(words(docs[text])).cast("long"))
+    """Words are runs of characters other than space and \\t \\n \\v \\f \\r."""
+    return docs.withColumn(name, F.coalesce(F.regexp_count(docs[text], F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"))
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", mix: Mix = Mix()) -> DataFrame:
