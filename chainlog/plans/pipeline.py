@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.decoding import decode_events, decode_functions
 from ..operators import base, enrich, filters, ocel, relational
-from ..operators.graph import create_closure, creation_edges
+from ..operators.graph import create_closure, creation_edges, level_expand
 from ..operators.trace import flatten_traces
 from ..sources import captured, sinks
 from .config import Config
@@ -36,6 +36,7 @@ class Captured:
     abis: DataFrame  # address, abi
     mappings: DataFrame  # map_name, key, value
     tx_index: DataFrame | None = None  # hash, ix
+    touches: DataFrame | None = None  # hash, contract: every contract that a transaction was listed for
 
 
 def addresses(spark: SparkSession, values: tuple[str, ...]) -> DataFrame:
@@ -43,7 +44,11 @@ def addresses(spark: SparkSession, values: tuple[str, ...]) -> DataFrame:
 
 
 def extract(spark: SparkSession, config: Config, data: Captured) -> dict[str, DataFrame]:
-    """trace: a row for each step of each transaction in the block range; contracts: those of the DApp."""
+    """trace: a row for each step of each transaction in the block range; contracts: those of the DApp.
+
+    With touches, only transactions count that touch the DApp's contracts as they become known, level by level; without, all
+    that were captured.
+    """
     tx = data.transactions.where(F.col("blockNumber").between(config.min_block, config.max_block)).select("hash", "blockNumber", "timeStamp")
     trace = flatten_traces(tx.join(data.traces, "hash"))
     if data.tx_index is not None:
@@ -52,8 +57,12 @@ def extract(spark: SparkSession, config: Config, data: Captured) -> dict[str, Da
         trace = trace.withColumns({"transactionIndex": F.lit(None).cast("long"), "tx_index_missing": F.lit(True)})
     trace = base.base_transform(trace)
     deny = addresses(spark, config.non_dapp) if config.non_dapp else None
-    contracts = create_closure(creation_edges(trace), addresses(spark, config.dapp), deny, config.prune)
-    return {"trace": trace, "contracts": contracts}
+    seeds = addresses(spark, config.dapp)
+    if data.touches is None:
+        return {"trace": trace, "contracts": create_closure(creation_edges(trace), seeds, deny, config.prune)}
+    edges = filters.creations(trace).select("hash", F.substring("from", 1, 42).alias("from"), "to")
+    hashes, contracts = level_expand(data.touches.select("hash", F.lower("contract").alias("contract")), edges, seeds, deny)
+    return {"trace": trace.join(hashes.select("hash"), "hash", "left_semi"), "contracts": contracts}
 
 
 def decode(config: Config, trace: DataFrame, contracts: DataFrame, abis: DataFrame) -> dict[str, DataFrame]:

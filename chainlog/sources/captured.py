@@ -36,6 +36,11 @@ def transactions(normal: DataFrame | None, internal: DataFrame | None, events: D
     return keep_last(union_sources(*have), "hash", "__rank", "blockNumber").drop("__rank")
 
 
+def touches(*sources: DataFrame) -> DataFrame:
+    """(hash, contract): every contract that a transaction was listed for, over all sources."""
+    return union_sources(*sources).select("hash", F.col("contractAddress").alias("contract")).distinct()
+
+
 def traces(spark: SparkSession, path: str) -> DataFrame:
     """(hash, trace_json) of captured trace responses, one JSON document a line: {"hash": ..., "response": {...}}.
 

@@ -7,6 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from chainlog.__main__ import main
 from chainlog.functions import abi
 from chainlog.operators import enrich, ocel, relational
 from chainlog.plans.config import Config
@@ -83,6 +84,25 @@ def test_all_stages(spark, files, tmp_path):
     assert again["ocel_events"].count() == len(ids)
 
 
+def test_levels_choose_transactions(spark, files, tmp_path):
+    d = data(spark, files)
+    touches = spark.createDataFrame([("t1", ROOT.upper().replace("X", "x")), ("t2", OTHER)], "hash string, contract string")
+    only = Captured(d.transactions, d.traces, d.abis, d.mappings, d.tx_index, touches)
+    config = Config(dapp=(ROOT,), max_block=10, stages=frozenset({"extraction", "decoding"}))
+    assert run(spark, config, only, str(tmp_path)) == {}
+    trace = spark.read.parquet(f"{tmp_path}/output/extraction/trace.parquet")
+    assert {r["hash"] for r in trace.select("hash").distinct().collect()} == {"t1"}
+    lists = [captured.transaction_list(spark, f"{files}/{n}.json", n) for n in ("normal", "internal")]
+    assert captured.touches(*lists).count() == 3
+
+
+def test_command_line(spark, files, tmp_path):
+    (tmp_path / "config.json").write_text(json.dumps({"contracts": {"dapp": [ROOT]}, "block_range": {"min_block": 0, "max_block": 10}}))
+    main([str(tmp_path / "config.json"), files, str(tmp_path / "out")])
+    assert spark.read.parquet(f"{tmp_path}/out/output/transformation/ocel_events.parquet").count() > 0
+    assert list((tmp_path / "out/output/transformation/log.xmlocel").glob("part-*"))
+
+
 @pytest.mark.parametrize("version", ["2.0", "1.0"])
 def test_xml(spark, tmp_path, version):
     objects = spark.createDataFrame([("EOA_a&b", "EOA", "EOA"), ("TOKEN_1", "TOKEN", None)], "`ocel:oid` string, `ocel:type` string, category string")
