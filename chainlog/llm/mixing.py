@@ -22,6 +22,7 @@ from .common import written
 
 #: Rows that a cell holds on average, at most.
 CELL_ROWS = 2048
+MAX_SOURCES = 100_000
 
 
 @dataclass(frozen=True)
@@ -46,14 +47,21 @@ def shares(sizes: list[int], weights: list[int], max_repeats: int) -> list[float
         held |= more
 
 
+def source_key(source: Column) -> Column:
+    """Distinct for all sources and never null, so that plain equality joins it."""
+    return F.coalesce(F.concat(F.lit("+"), source.cast("string")), F.lit("-"))
+
+
 def source_targets(sized: DataFrame, source: str, size: str, mix: Mix) -> DataFrame:
-    """(source, source_size, target). One row per source comes to the driver: sources are few names, not documents."""
+    """(__mix_source, source_size, target), by source_key. One row per source comes to the driver: sources are names of corpora, at most MAX_SOURCES."""
     spark = sized.sparkSession
-    rows = sized.groupBy(F.col(source).alias("s")).agg(F.sum(size).alias("n")).collect()
+    rows = sized.groupBy(F.col(source).cast("string").alias("s")).agg(F.sum(size).alias("n")).limit(MAX_SOURCES + 1).collect()
+    if len(rows) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
     rows.sort(key=lambda r: (r["s"] is None, (r["s"] or "").encode("utf-8")))
     sizes = [int(r["n"]) for r in rows]
     targets = shares(sizes, [mix.weights[i % len(mix.weights)] for i in range(len(rows))], mix.max_repeats) if sum(sizes) else [0.0] * len(rows)
-    return spark.createDataFrame([(r["s"], n, t) for r, n, t in zip(rows, sizes, targets)], "__mix_source string, source_size long, target double")
+    return spark.createDataFrame([("-" if r["s"] is None else "+" + r["s"], n, t) for r, n, t in zip(rows, sizes, targets)], "__mix_source string, source_size long, target double")
 
 
 def band(size: Column) -> Column:
@@ -72,7 +80,7 @@ def take(df: DataFrame, key: str, source: str, size: str, mix: Mix = Mix()) -> D
 
     def placed(rows: DataFrame) -> DataFrame:
         digest = F.md5(F.concat(F.lit(mix.seed), F.coalesce(F.col(key).cast("string"), F.lit(""))))
-        rows = rows.withColumns({"__mix_source": F.col(source), "__mix_band": band(F.col(size)), "__mix_hash": digest})
+        rows = rows.withColumns({"__mix_source": source_key(F.col(source)), "__mix_band": band(F.col(size)), "__mix_hash": digest})
         return rows.withColumn("__mix_cell", F.shiftright(F.conv(F.substring("__mix_hash", 1, 12), 16, 10).cast("long"), max(0, 48 - bits)))
 
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
@@ -82,16 +90,14 @@ def take(df: DataFrame, key: str, source: str, size: str, mix: Mix = Mix()) -> D
     bands = bands.select("__mix_source", "__mix_band", F.coalesce(F.sum("__mix_n").over(in_source), F.lit(0)).alias("__mix_first"))
     in_band = before(Window.partitionBy("__mix_source", "__mix_band").orderBy("__mix_cell"))
     cells = cells.select("__mix_source", "__mix_band", "__mix_cell", F.coalesce(F.sum("__mix_n").over(in_band), F.lit(0)).alias("__mix_within"))
-    same = lambda a, b, names: [a[c].eqNullSafe(b[c]) for c in names]
-    bands, cells = bands.alias("b"), cells.alias("c")
-    at = cells.join(bands, (F.col("b.__mix_source").eqNullSafe(F.col("c.__mix_source"))) & (F.col("b.__mix_band") == F.col("c.__mix_band")))
-    at = at.select("c.__mix_source", "c.__mix_band", "c.__mix_cell", (F.col("__mix_first") + F.col("__mix_within")).alias("__mix_start"))
+    at = cells.join(bands, ["__mix_source", "__mix_band"])
+    at = at.select("__mix_source", "__mix_band", "__mix_cell", (F.col("__mix_first") + F.col("__mix_within")).alias("__mix_start"))
     in_cell = Window.partitionBy("__mix_source", "__mix_band", "__mix_cell").orderBy("__mix_hash", key)
     ranked = placed(df).withColumn("__mix_rank", F.row_number().over(in_cell) - 1)
-    ranked = ranked.join(at, same(ranked, at, ("__mix_source", "__mix_band", "__mix_cell"))).drop(*[at[c] for c in ("__mix_source", "__mix_band", "__mix_cell")])
-    ranked = ranked.join(fit, ranked["__mix_source"].eqNullSafe(fit["__mix_source"])).drop(fit["__mix_source"])
+    ranked = ranked.join(at, ["__mix_source", "__mix_band", "__mix_cell"])  # dealt as the window wants it already
+    ranked = ranked.join(fit, "__mix_source")
     rate = F.when(F.col("source_size") == 0, 0.0).otherwise(F.col("target") / F.col("source_size"))
-    offset = F.conv(F.substring(F.md5(F.concat(F.lit(mix.seed + "/"), F.coalesce(F.col("__mix_source"), F.lit("")))), 1, 4), 16, 10).cast("double") / 65536
+    offset = F.conv(F.substring(F.md5(F.concat(F.lit(mix.seed + "/"), F.coalesce(F.col(source), F.lit("")))), 1, 4), 16, 10).cast("double") / 65536
     pos = F.col("__mix_start") + F.col("__mix_rank")
     crossed = F.floor((pos + 1) * rate + offset) - F.floor(pos * rate + offset)
     out = ranked.withColumn("copies", F.least(crossed, F.lit(mix.max_repeats)).cast("int"))
