@@ -16,15 +16,20 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bind, written
 
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+#: Bits of all levels that go to the tasks.
+MAX_BITS = 1 << 22
+
+
 @dataclass(frozen=True)
 class UrlRule:
     verdict: str
@@ -84,16 +89,17 @@ def encode(keys: DataFrame, level: int, n: int, rate: float) -> Level:
 
 
 def holds(key: Column, number: int, level: Level) -> Column:
-    """Whether the filter takes the key for one of its own."""
-    words = F.lit(list(level.words)).cast("array<bigint>")
-    bit = lambda p: F.call_function("shiftrightunsigned", F.get(words, F.shiftright(p, 6).cast("int")), (p % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
-    out = F.lit(True)
-    for p in _positions(key, number, level.bits, level.hashes):
-        out = out & bit(p)
-    return out
+    """Whether the filter takes the key for one of its own. The words are one literal, made from text when the plan is optimised."""
+    words = F.split(F.lit(",".join(map(str, level.words))), ",").cast("array<bigint>")
+
+    def all_set(w: Column) -> Column:
+        bit = lambda p: F.call_function("shiftrightunsigned", F.get(w, F.shiftright(p, 6).cast("int")), (p % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+        return reduce(lambda a, b: a & b, map(bit, _positions(key, number, level.bits, level.hashes)))
+
+    return bind(words, all_set)
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, max_bits: int = 1 << 24, first_rate: float | None = None) -> list[Level] | None:
+def build_cascade(listed: DataFrame, universe: DataFrame, max_bits: int = MAX_BITS, first_rate: float | None = None) -> list[Level] | None:
     """Levels over distinct keys (one column, `key`); None if the list needs more than max_bits.
 
     The universe is every key that will ever be asked. Only counts and the filters' words come to the driver.
@@ -138,7 +144,7 @@ def rule_for(host: Column, path: Column, rules: tuple[UrlRule, ...]) -> Column:
 
 
 def judge_urls(
-    pages: DataFrame, listed: DataFrame, url: str = "url", rules: tuple[UrlRule, ...] = RULES, max_bits: int = 1 << 24, first_rate: float | None = None
+    pages: DataFrame, listed: DataFrame, url: str = "url", rules: tuple[UrlRule, ...] = RULES, max_bits: int = MAX_BITS, first_rate: float | None = None
 ) -> DataFrame:
     """Adds host, path, rule, listed and verdict. listed: one column, `key`, of hosts that block all their subdomains."""
     own = [c for c in pages.columns if c not in ("host", "path", "rule", "listed", "verdict")]

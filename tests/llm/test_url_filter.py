@@ -43,7 +43,7 @@ WANT[2] = "allow"  # its path is empty, so no rule fits, and its host is not lis
 def test_rules_and_list(spark):
     rows = [(i, x, "mine") for i, x in enumerate(URLS)]
     pages = spark.createDataFrame(rows, "page_id long, url string, verdict string")
-    for bits in (1 << 24, 1):
+    for bits in (u.MAX_BITS, 1):
         out = u.judge_urls(pages, u.listed_hosts(spark), max_bits=bits)
         got = {r["page_id"]: r for r in out.collect()}
         assert [got[i]["verdict"] for i in range(len(URLS))] == WANT
