@@ -1,23 +1,27 @@
 """Token ids of whole texts by the tokenizers library, with a cache of the pieces between spaces.
 
 The vocabularies split a text at white space before any merge, so a text's ids are its pieces' ids in a row. A piece is what
-lies between two line feeds or spaces, with what is before it. Letters, with full stops or commas after them, go to the
-library's merges as they are; any other piece goes through the whole tokenizer. Texts in which white space follows white
-space, other white space, a zero character or a special token's mark occurs, or that start or end in white space, are
-encoded as a whole. So the ids are the library's for every text, which the tests hold against it.
+lies between two line feeds or spaces, with what is before it, in lower case where the vocabulary has no other. Letters, with
+full stops or commas after them, go to the library's merges as they are; any other piece goes through the whole tokenizer.
+Texts in which white space follows white space, other white space, a zero character or a special token's mark occurs, or that
+start or end in white space, are encoded as a whole. So the ids are the library's for every text, which the tests hold
+against it.
 """
 
 from __future__ import annotations
 
-import json
 import os
 import re
+import struct
+from operator import itemgetter
 
 import numpy as np
 
 #: White space that does not separate pieces here, and the mark of special tokens.
 ODD = re.compile("[\0\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]|<\\|")
-MAX_PIECES = 600_000
+#: Letters whose lower case may be more than one.
+WIDE = re.compile("[^\0-\xff]")
+MAX_PIECES = 500_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -37,9 +41,10 @@ class Pieces(dict):
         self.library = Tokenizer.from_file(path)
         self.merges = self.library.model
         self.dtype = np.dtype(dtype).newbyteorder("<")
+        self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
         self.letters = byte_letters()
-        normal = [x["type"] for x in (json.loads(self.library.to_str())["normalizer"] or {}).get("normalizers", [])]
-        self.lower = "Lowercase" in normal  # such vocabularies also drop white space and compose letters
+        self.space = self.letters[32]
+        self.lower = "Lowercase" in str(self.library.normalizer)  # such vocabularies also drop white space and compose letters
         self.feed = self.plain("\n")
         self.stops = {c: self.plain(c) for c in ".,"}
 
@@ -47,7 +52,11 @@ class Pieces(dict):
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def merged(self, pretoken: str) -> list[int]:
-        return [t.id for t in self.merges.tokenize(pretoken.encode().decode("latin-1").translate(self.letters))]
+        if pretoken[0] == " " and pretoken.isascii():  # printable letters after it stand for themselves
+            letters = self.space + pretoken[1:]
+        else:
+            letters = pretoken.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.merges.tokenize(letters)]
 
     def __missing__(self, piece: str) -> bytes:
         """A piece is a word with a space before it, or a line feed with a word after it."""
@@ -69,14 +78,21 @@ class Pieces(dict):
             ids = self.merged(stem.lower() if self.lower else space + stem)
             if len(stem) < len(word):
                 ids += self.merged(word[len(stem) :])
-            return np.array(ids, self.dtype).tobytes()
+            return struct.pack(f"<{len(ids)}{self.code}", *ids)
         return self.plain(space + word)
 
     def encode(self, text: str) -> bytes:
         if not text or text[-1].isspace() or text[0].isspace() or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or ODD.search(text):
             return self.plain(text)
+        if self.lower:  # words are all there is, in any case
+            if not WIDE.search(text):
+                text = text.lower()
+            return self.joined(text.replace("\n", " ").split(" "))
         first, *rest = text.replace("\n", " \n").split(" ")
-        return self.word(first, "") + b"".join([self[p] for p in rest])
+        return self.word(first, "") + self.joined(rest)
+
+    def joined(self, pieces: list[str]) -> bytes:
+        return b"".join(itemgetter(*pieces)(self) if len(pieces) > 1 else [self[p] for p in pieces])
 
 
 _known: dict[tuple[str, str], Pieces] = {}
