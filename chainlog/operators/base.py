@@ -17,25 +17,33 @@ def hex_to_long(value: Column) -> Column:
 def hex_to_decimal_text(value: Column) -> Column:
     """A number of any width from 0x text, as decimal digits; null if it is not one.
 
-    Hex digits are folded six at a time into limbs of nine decimal digits, so 256-bit values keep every digit.
+    Up to 30 hex digits are two longs in a decimal; only wider numbers, up to 256 bits, take the way by limbs.
     """
-    digits = F.substring(value, 3, 80)
-    padded = F.lpad(digits, 72, "0")
-    chunks = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.conv(F.substr(padded, i * 6 + 1, F.lit(6)), 16, 10).cast("long"))
-    zero = F.array(*[F.lit(0).cast("long")] * 10)
+    digits = F.ltrim(F.substring(value, 3, 80), F.lit("0"))
+    n = F.length(digits)
+    low = F.conv(F.substring(digits, -15, 15), 16, 10).cast("decimal(19,0)")
+    high = F.conv(F.substr(digits, F.lit(1), F.greatest(n - 15, F.lit(0))), 16, 10).cast("decimal(19,0)")
+    two = (high * F.lit(1 << 60).cast("decimal(19,0)") + low).cast("decimal(38,0)").cast("string")
+    text = F.when(n == 0, "0").when(n <= 15, low.cast("string")).when(n <= 30, two).when(n <= 64, _by_limbs(digits))
+    return F.when(value.rlike(HEX), text)
+
+
+def _by_limbs(digits: Column) -> Column:
+    """Hex digits are folded six at a time into limbs of nine decimal digits, so 256-bit values keep every digit."""
+    padded = F.lpad(digits, 66, "0")
+    chunks = F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: F.conv(F.substr(padded, i * 6 + 1, F.lit(6)), 16, 10).cast("long"))
+    zero = F.array(*[F.lit(0).cast("long")] * 9)
 
     def push(limbs: Column, chunk: Column) -> Column:
         def step(s: Column, limb: Column) -> Column:
             total = limb * (1 << 24) + s["carry"]
-            return F.struct(F.floor(total / 1_000_000_000).cast("long").alias("carry"), F.concat(s["limbs"], F.array(total % 1_000_000_000)).alias("limbs"))
+            return F.struct(F.call_function("div", total, F.lit(1_000_000_000)).alias("carry"), F.concat(s["limbs"], F.array(total % 1_000_000_000)).alias("limbs"))
 
         first = F.struct(chunk.alias("carry"), F.array().cast("array<bigint>").alias("limbs"))
         return F.aggregate(limbs, first, step, lambda s: s["limbs"])
 
     limbs = F.aggregate(chunks, zero, push)
-    text = F.array_join(F.transform(F.reverse(limbs), lambda x: F.lpad(x.cast("string"), 9, "0")), "")
-    trimmed = F.ltrim(text, F.lit("0"))
-    return F.when(value.rlike(HEX) & (F.length(digits) <= 64), F.when(trimmed == "", "0").otherwise(trimmed))
+    return F.ltrim(F.array_join(F.transform(F.reverse(limbs), lambda x: F.lpad(x.cast("string"), 9, "0")), ""), F.lit("0"))
 
 
 def hex_to_int(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -61,8 +69,8 @@ def base_transform(trace: DataFrame) -> DataFrame:
         raise ValueError(f"columns are missing: {sorted(missing)}")
     df = trace.withColumns({"timeStamp": F.timestamp_seconds(F.col("timeStamp").cast("long")), **{c: F.lower(c) for c in ("to", "from", "address")}})
     df = hex_to_int(df.withColumnsRenamed({"type": "calltype", "value": "callvalue"}), ["gas", "gasUsed"])
-    number = hex_to_decimal_text(F.col("callvalue"))
-    return df.withColumns({"callvalue_raw": F.col("callvalue"), "callvalue": number, "callvalue_decimal": number.try_cast("decimal(38,0)")})
+    df = df.withColumns({"callvalue_raw": F.col("callvalue"), "callvalue": hex_to_decimal_text(F.col("callvalue"))})
+    return df.withColumn("callvalue_decimal", F.col("callvalue").try_cast("decimal(38,0)"))
 
 
 def bytes_to_hex(df: DataFrame, columns: list[str]) -> DataFrame:

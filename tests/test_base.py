@@ -41,6 +41,13 @@ def test_wide_numbers_keep_every_digit(spark, values):
     assert got == [0, 2**256 - 1, *values]
 
 
+def test_numbers_around_the_ways_to_read_them(spark):
+    values = [f(16**k) for k in (14, 15, 16, 29, 30, 31, 63) for f in (lambda x: x - 1, int, lambda x: x + 1)]
+    df = spark.createDataFrame([(i, hex(v)) for i, v in enumerate(values)] + [(99, "0x" + "f" * 65), (100, "0x00001f")], "i int, v string")
+    got = [r[0] for r in df.orderBy("i").select(base.hex_to_decimal_text(F.col("v"))).collect()]
+    assert got == [*map(str, values), None, "31"]
+
+
 def test_base_transform(spark):
     row = [("1530000000", "0xAB", "0xCD", None, "CALL", hex(2**256 - 1), "0x10", "0xzz")]
     df = spark.createDataFrame(row, "timeStamp string, `to` string, `from` string, address string, type string, value string, gas string, gasUsed string")
