@@ -10,6 +10,10 @@ in all documents and two values never share one:
 - date: yyyy-mm-dd, dd/mm/yyyy or dd.mm.yyyy that the calendar has, 1900 to 2099; permuted as a day of its leap or common year
 - email: letters and digits of all but the last label are permuted, each within its class
 
+A phone or card ends at the last group of digits with which it validates, so numbers beside it are not taken for its end:
+groups that are an IP, date, SSN or e-mail address are its own only if it does not validate without them, and a phone ends
+before a valid card. A card may start at any group after a space. Where values overlap, the first one counts.
+
 What does not validate is left as it is: other long numbers, versions, hashes. A null text stays null; an empty one stays
 empty; repeated rows are alike; an empty table gives an empty one; other columns pass through.
 """
@@ -30,8 +34,16 @@ DATE = r"(?<![\w./-])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d/\d\d/(?:19|20)\d\d|\d\d\.\d
 SSN = r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\w-])"
 PHONE = r"(?<![\w+])\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,5}){2,5}(?!\w)"
 CARD = r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)"
-ANY = "|".join(f"(?:{p})" for p in (EMAIL, IP, DATE, SSN, PHONE, CARD))
+FIXED = "|".join(f"(?:{p})" for p in (EMAIL, IP, DATE, SSN))
 SOME = r"[0-9@]"
+#: Places where a phone or card may start, with what follows as far as it decides where the value ends.
+AFTER = r"(?:[\w.%+-]{0,64}@)?\w?"
+PHONE_AT = rf"(?<![\w+])(?=(\+\d[\d ./()-]{{6,99}}{AFTER}))\+"
+CARD_AT = rf"(?<![\w.+-])(?=\d(?:[ -]?\d){{12}})(?=(\d[\d ./-]{{12,59}}{AFTER}))\d+"
+#: Ends by the number of digits, longest first, and what is a value of its own after a space.
+PHONE_ENDS = [rf"^\+\d(?:[ .()-]{{0,3}}\d){{{n - 1}}}(?!\w)" for n in range(15, 7, -1)]
+CARD_ENDS = [rf"^\d(?:[ -]?\d){{{n - 1}}}(?![\w-]|\.\d)" for n in range(19, 12, -1)]
+OTHERS = rf"(?<= )(?:{IP}|{DATE}|{SSN}|[A-Za-z0-9][A-Za-z0-9._%+-]*@)"
 
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 LEAP_DAYS, COMMON_DAYS = (6, 61), (5, 73)  # factors of 366 and 365: the two halves of a day's number
@@ -213,18 +225,64 @@ def pseudonym(match: Column, key: str) -> Column:
     return out
 
 
+def _valid(window: Column, ends: list[str], good) -> Column:
+    """What validates of the values that start with the window, longest first."""
+    return F.filter(F.transform(F.array(*map(F.lit, ends)), lambda e: F.regexp_substr(window, e)), lambda v: v.isNotNull() & good(v))
+
+
+def _valid_cards(window: Column) -> Column:
+    return _valid(window, CARD_ENDS, lambda v: luhn_sum(F.translate(v, " -", ""), False) % 10 == 0)
+
+
+def _phone_of(window: Column) -> Column:
+    """The longest valid phone before a valid card, else the longest one, or null."""
+
+    def pick(found: Column) -> Column:
+        rest = lambda v: F.substr(window, F.length(v) + 1)
+        before = F.filter(found, lambda v: F.startswith(rest(v), F.lit(" ")) & (F.size(_valid_cards(F.substr(rest(v), F.lit(2)))) > 0))
+        return F.coalesce(F.get(before, F.lit(0)), F.get(found, F.lit(0)))
+
+    return bind(_valid(window, PHONE_ENDS, lambda v: v.rlike(rf"^(?:{PHONE})$")), pick)
+
+
+def _card_of(window: Column) -> Column:
+    return F.get(_valid_cards(window), F.lit(0))
+
+
+def _literals(text: Column, at: str, value_of) -> Column:
+    """The valid values at the places of a pattern, as alternatives of a pattern, longest first; empty if none."""
+
+    def own(window: Column) -> Column:
+        return F.coalesce(bind(F.regexp_replace(window, OTHERS, "|"), value_of), value_of(window))
+
+    values = F.array_distinct(F.filter(F.transform(F.regexp_extract_all(text, F.lit(at), F.lit(1)), own), lambda v: v.isNotNull()))
+    ordered = F.reverse(F.array_sort(F.transform(values, lambda v: F.struct(F.length(v).alias("n"), v.alias("v")))))
+    return F.array_join(F.transform(ordered, lambda x: F.concat(F.lit(r"\Q"), x["v"], F.lit(r"\E"))), "|")
+
+
+def pattern_of(text: Column) -> Column:
+    """A pattern of what is to be replaced in the text: the formats known by pattern alone, and its valid phones and cards."""
+
+    def put(x: Column) -> Column:
+        phones = F.when(x["phones"] != "", F.concat(F.lit(r"|(?<![\w+])(?:"), x["phones"], F.lit(r")(?!\w)"))).otherwise("")
+        cards = F.when(x["cards"] != "", F.concat(F.lit(r"|(?<![\w.+-])(?:"), x["cards"], F.lit(r")(?![\w-]|\.\d)"))).otherwise("")
+        return F.concat(F.lit(FIXED), phones, cards)
+
+    return bind(F.struct(_literals(text, PHONE_AT, _phone_of).alias("phones"), _literals(text, CARD_AT, _card_of).alias("cards")), put)
+
+
 def pseudonymise(docs: DataFrame, text: str = "text", key: str = "pseudonym key", counts: str | None = None) -> DataFrame:
     """The rows with the text's values replaced; counts names a map column of replacements by kind, if wanted.
 
     The text is cut at its matches; pieces and pseudonyms are then joined again, so nothing is replaced twice. Texts without
     a digit or @ are not searched further. One projection, no shuffle.
     """
-    found, pieces, new = "__pseudonyms_found", "__pseudonyms_pieces", "__pseudonyms_new"
-    src = docs[text]
-    df = docs.withColumn(found, F.when(src.rlike(SOME), F.regexp_extract_all(src, F.lit(ANY), F.lit(0))))
+    found, pieces, new, pattern = "__pseudonyms_found", "__pseudonyms_pieces", "__pseudonyms_new", "__pseudonyms_pattern"
+    df = docs.withColumn(pattern, F.when(docs[text].rlike(SOME), pattern_of(docs[text])))
+    df = df.withColumn(found, F.when(df[pattern].isNotNull(), F.regexp_extract_all(df[text], df[pattern], F.lit(0))))
     has = F.size(df[found]) > 0
     df = df.withColumn(new, F.when(has, F.transform(df[found], lambda m: pseudonym(m, key))))
-    df = df.withColumn(pieces, F.when(has, F.split(df[text], ANY, -1)))
+    df = df.withColumn(pieces, F.when(has, F.split(df[text], df[pattern], -1)))
     joined = F.array_join(F.zip_with(df[pieces], df[new], lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     out = {text: F.when(has, joined).otherwise(df[text])}
     if counts is not None:

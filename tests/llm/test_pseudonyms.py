@@ -76,3 +76,51 @@ def test_many_values_in_a_long_text(spark):
     text = " ".join(f"10.0.{i // 250}.{i % 250}" for i in range(2000))
     (out,) = run(spark, [text])
     assert len(set(out.split())) == 2000
+
+
+CARD16 = "4111111111111111"
+PHONES = ["+1 (826) 555-4081", "+44 20 7946 0958", "+298 123456"]
+SPACED = "4111 1111 1111 1111"
+IPS, DATES, SSNS = ["190.137.223.204", "10.20.30.40"], ["2021-03-04", "04/03/2021", "04.03.2021"], ["123-45-6789"]
+
+
+def test_values_beside_other_values(spark):
+    """Every value gets the pseudonym that it has alone, whatever number stands before or after it."""
+    values = [*PHONES, *IPS, *DATES, *SSNS, CARD16, SPACED, "12@x7.example.com"]
+    alone = dict(zip(values, run(spark, values)))
+    assert all(v != new for v, new in alone.items())
+    pairs = [(a, b) for a in values for b in values]
+    got = run(spark, [f"{a} {b}" for a, b in pairs])
+    wrong = [(a, b, g) for (a, b), g in zip(pairs, got) if g != f"{alone[a]} {alone[b]}"]
+    assert not wrong, wrong
+    beside = [(f"{CARD16} 123", CARD16), (f"{CARD16} 12/25", CARD16), (f"card 2 {CARD16}", CARD16), (f"{SPACED} 12/25", SPACED), (f"n 7 {SPACED} 123", SPACED)]
+    assert run(spark, [t for t, _ in beside]) == [t.replace(v, alone[v]) for t, v in beside]
+
+
+def slow_values(text):
+    """The phones and cards of a text of groups with single spaces: from the first group on, the longest that validates."""
+    words, out, i = text.split(" "), [], 0
+    while i < len(words):
+        ends = []
+        for j in range(i + 1, len(words) + 1):
+            v = " ".join(words[i:j])
+            n = sum(c.isdigit() for c in v)
+            if re.fullmatch(p.PHONE, v) and 8 <= n <= 15 or re.fullmatch(r"\d(?: ?\d){12,18}", v) and luhn(v.replace(" ", "")):
+                ends.append(j)
+        if ends:
+            out.append(" ".join(words[i : ends[-1]]))
+        i = ends[-1] if ends else i + 1
+    return out
+
+
+def test_groups_against_brute_force(spark):
+    rng = random.Random(5)
+    texts = []
+    for _ in range(200):
+        groups = ["".join(rng.choice("0123456789") for _ in range(rng.choice((2, 3, 4, 4, 5)))) for _ in range(rng.randrange(3, 14))]
+        at = rng.randrange(len(groups))
+        groups[at:at] = [card(rng, rng.randrange(13, 20))] * rng.randrange(2)
+        texts.append("x " + " ".join(groups) + " y")
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [r[0] for r in df.select(F.regexp_extract_all("text", p.pattern_of(F.col("text")), F.lit(0))).collect()]
+    assert got == [slow_values(t) for t in texts] and sum(map(len, got)) > 100
