@@ -4,10 +4,11 @@ Every validated value is permuted by a keyed Feistel network within its own form
 in all documents and two values never share one:
 
 - card: 13 to 19 digits, spaces or dashes between groups allowed, with a right Luhn digit; the pseudonym has one too
-- phone: + and 8 to 15 digits with the usual separators; the digits after the country code are permuted
+- phone: + and 8 to 15 digits with the usual separators, in groups of one digit or more; the digits after the country code are permuted
 - ssn: ddd-dd-dddd with a possible area, group and serial
 - ip: four octets; permuted as a 32-bit number
-- date: yyyy-mm-dd, dd/mm/yyyy or dd.mm.yyyy that the calendar has, 1900 to 2099; permuted as a day of its leap or common year
+- date: yyyy-mm-dd, dd/mm/yyyy or dd.mm.yyyy that the calendar has, 1900 to 2099, also before T and a time; permuted as a day of its leap or
+  common year
 - email: letters and digits of all but the last label are permuted, each within its class
 
 A phone or card ends at the last group of digits with which it validates, so numbers beside it are not taken for its end:
@@ -30,14 +31,14 @@ ROUNDS = 8
 #: The formats, tried in this order at each place. Lookarounds keep matches from starting or ending within a longer token.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"
 IP = r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)"
-DATE = r"(?<![\w./-])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d/\d\d/(?:19|20)\d\d|\d\d\.\d\d\.(?:19|20)\d\d)(?![\w/-]|\.\d)"
+DATE = r"(?<![\w./-])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d/\d\d/(?:19|20)\d\d|\d\d\.\d\d\.(?:19|20)\d\d)(?!(?!T\d\d:?\d\d)[\w/-]|\.\d)"
 SSN = r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\w-])"
-PHONE = r"(?<![\w+])\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,5}){2,5}(?!\w)"
+PHONE = r"(?<![\w+])\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d){4,14}(?!\w)"
 CARD = r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)"
 FIXED = "|".join(f"(?:{p})" for p in (EMAIL, IP, DATE, SSN))
 SOME = r"[0-9@]"
 #: Places where a phone or card may start, with what follows as far as it decides where the value ends.
-AFTER = r"(?:[\w.%+-]{0,64}@)?\w?"
+AFTER = r"(?:[\w.%+-]{0,64}@|T\d\d:?\d\d)?\w?"
 PHONE_AT = rf"(?<![\w+])(?=(\+\d[\d ./()-]{{6,99}}{AFTER}))\+"
 CARD_AT = rf"(?<![\w.+-])(?=\d(?:[ -]?\d){{12}})(?=(\d[\d ./-]{{12,59}}{AFTER}))\d+"
 #: Ends by the number of digits, longest first, and what is a value of its own after a space.

@@ -124,3 +124,17 @@ def test_groups_against_brute_force(spark):
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     got = [r[0] for r in df.select(F.regexp_extract_all("text", p.pattern_of(F.col("text")), F.lit(0))).collect()]
     assert got == [slow_values(t) for t in texts] and sum(map(len, got)) > 100
+
+
+def test_short_groups_and_timestamps(spark):
+    phones = ["+33 1 23 45 67 89", "+61 2 9876 5432", "+81 3 1234 5678", "+49 30 1234567-0", "+33.1.23.45.67.89"]
+    times = ["2021-03-04T10:00:00Z", "2021-03-04T10:00:00+01:00", "2021-03-04T1000"]
+    stay = ["+1 2 3 4", "2021-03-04Test", "2021-03-04T1"]
+    (date, *got) = run(spark, ["2021-03-04", *phones, *times, *stay, *[f"{f} {i}" for f in phones for i in ("10.20.30.40", "2021-03-04T10:00Z")]])
+    new = dict(zip(phones, got))
+    shape = lambda v: re.sub(r"\d", "0", v)
+    assert all(v != n and shape(v) == shape(n) and v[:2] == n[:2] for v, n in new.items())
+    assert date != "2021-03-04" and got[5:8] == [date + t[10:] for t in times]
+    assert got[8:11] == stay
+    assert all(g.startswith(new[f] + " ") and g.endswith(" " + date + "T10:00Z") for f, g in zip(phones, got[12::2]))
+    assert all(g.startswith(new[f] + " ") and g.count(".") == f.count(".") + 3 and not g.endswith("10.20.30.40") for f, g in zip(phones, got[11::2]))
