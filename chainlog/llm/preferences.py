@@ -6,9 +6,13 @@ differ is joined back. The output has a row for each section (prompt, chosen, re
 numbers, so a conversation with a third of all rows becomes many rows of bounded length, never one task's group.
 
 Rows of one conversation and turn number that are alike count once; different ones follow each other by role and text, as
-parts of that turn. Turns without a number come last, in that same order; null roles and texts are rendered as empty. A
-pair whose sides are equal has a prompt and no completions; a pair with one side only has no prompt. An empty table gives
-an empty one. Only the named columns are read, so others cannot clash.
+parts of that turn. Turns without a number come last, in that same order, and count as often as they are there; null roles
+and texts are rendered as empty. A pair whose sides are equal has a prompt and no completions; a pair with one side only has
+no prompt. An empty table gives an empty one. Only the named columns are read, so others cannot clash.
+
+Rows without a pair id make one pair under null. Its turns are compared likewise, by how often each side has each turn's
+rows, but every row is an output row by itself and repeats count, as nothing says which conversation it is from: no list
+grows with their number, and they are not shuffled but for counts of equal rows.
 """
 
 from __future__ import annotations
@@ -40,7 +44,10 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame, pair: str = "pair
     side = lambda df, name: df.select(
         F.col(pair).alias("pair_id"), F.coalesce(F.col(turn).cast("long"), F.lit(LAST)).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"), F.lit(name).alias("side")
     )
-    rows = side(chosen, "chosen").unionByName(side(rejected, "rejected")).where("pair_id IS NOT NULL").distinct()
+    every = side(chosen, "chosen").unionByName(side(rejected, "rejected"))
+    rows = every.where("pair_id IS NOT NULL").groupBy("pair_id", "turn", "role", "text", "side").agg(F.count("*").alias("times"))
+    times = F.when(F.col("turn") == LAST, F.col("times")).otherwise(1).cast("int")
+    rows = rows.withColumn("copy", F.explode(F.array_repeat(F.lit(0), times)))
     said = F.struct("role", "text")
     turns = rows.groupBy("pair_id", "turn").agg(
         F.array_sort(F.collect_list(F.when(F.col("side") == "chosen", said))).alias("chosen"),
@@ -59,7 +66,8 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame, pair: str = "pair
         "pair_id", F.col("at.section").alias("section"), F.floor(F.col("turn") / PART_TURNS).alias("part_turns")
     ).agg(F.array_sort(F.collect_list(F.struct("turn", F.col("at.said").alias("said")))).alias("turns"))
     flat = F.flatten(F.transform("turns", lambda t: t["said"]))
-    parts = parts.withColumn("flat", flat)
+    parts = parts.select("pair_id", "section", "part_turns", F.col("turns")[0]["turn"].alias("turn"), flat.alias("flat"))
+    parts = parts.unionByName(_without_pair(every.where("pair_id IS NULL")))
     start = F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
 
     def walk(s: Column, x: Column) -> Column:
@@ -71,25 +79,37 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame, pair: str = "pair
     return parts.select(
         "pair_id",
         "section",
-        F.when(F.col("turns")[0]["turn"] < LAST, F.col("part_turns")).alias("part"),
-        F.when(F.col("turns")[0]["turn"] < LAST, F.col("turns")[0]["turn"]).alias("first_turn"),
+        F.when(F.col("turn") < LAST, F.col("part_turns")).alias("part"),
+        F.when(F.col("turn") < LAST, F.col("turn")).alias("first_turn"),
         F.size("flat").alias("n_turns"),
         F.array_join(F.transform("flat", lambda x: render(x["role"], x["text"])), "").alias("text"),
         F.when(F.col("section") == "prompt", F.array().cast("array<struct<start:int,end:int>>")).otherwise(spans).alias("targets"),
     )
 
 
+def _without_pair(rows: DataFrame) -> DataFrame:
+    """(pair_id, section, part_turns, turn, flat) of the rows without a pair id, each by itself."""
+    of = lambda name: F.sum((F.col("side") == name).cast("long"))
+    differ = rows.groupBy("turn", "role", "text").agg((of("chosen") - of("rejected")).alias("more")).where("more <> 0")
+    cut = differ.agg(F.coalesce(F.min("turn"), F.lit(LAST + 1)).alias("cut"))
+    rows = rows.crossJoin(F.broadcast(cut)).where("side = 'chosen' OR turn >= cut")
+    section = F.when(F.col("turn") < F.col("cut"), F.lit("prompt")).otherwise(F.col("side"))
+    return rows.select("pair_id", section.alias("section"), F.floor(F.col("turn") / PART_TURNS).alias("part_turns"), "turn", F.array(F.struct("role", "text")).alias("flat"))
+
+
 def with_other_reply(conversations: DataFrame) -> DataFrame:
     """Rejected sides for a table that has none: each conversation with its partner's last assistant turn for its own.
 
     Partners are conversations 2k and 2k + 1. Without a partner's reply, the conversation's own last reply is left out;
-    without an own reply nothing changes.
+    without an own reply nothing changes, nor do rows without a conversation.
     """
-    df = conversations.select("conv_id", "turn", "role", "text")
+    every = conversations.select("conv_id", "turn", "role", "text")
+    df = every.where("conv_id IS NOT NULL")
     last = df.where("role = 'assistant' AND turn IS NOT NULL").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("m"))
     other = last.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("m.text").alias("other_text"), F.lit(True).alias("has_other"))
     mine = last.select("conv_id", F.col("m.turn").alias("last_turn")).join(other, "conv_id", "left")
     df = df.join(mine, "conv_id", "left")
     is_last = F.coalesce((F.col("role") == "assistant") & (F.col("turn") == F.col("last_turn")), F.lit(False))
     df = df.where(~is_last | F.coalesce("has_other", F.lit(False)))
-    return df.select("conv_id", "turn", "role", F.when(is_last, F.col("other_text")).otherwise(F.col("text")).alias("text"))
+    df = df.select("conv_id", "turn", "role", F.when(is_last, F.col("other_text")).otherwise(F.col("text")).alias("text"))
+    return df.unionByName(every.where("conv_id IS NULL"))

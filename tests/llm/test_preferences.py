@@ -49,3 +49,32 @@ def test_swapped_replies(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {(r["conv_id"], r["turn"]): r["text"] for r in p.with_other_reply(df).collect()}
     assert got == {(0, 0): "q0", (0, 1): "a1", (1, 0): "q1", (1, 1): "a0", (2, 0): "q2", (3, 0): "q3"}
+
+
+def test_rows_without_a_pair_stay(spark):
+    """A third of all rows without an id: each is a row of one pair under null, with its repeats."""
+    lost = [(None, i % 3, "user" if i % 3 == 0 else "assistant", f"t{i % 7}") for i in range(300)] + [(None, None, "assistant", "last")] * 2
+    talk = [(i, t, "user", "q") for i in range(200) for t in range(3)]
+    schema = spark.createDataFrame([], TURNS).schema
+    other = [r for r in lost if r[1] != 1] + [(None, 1, "assistant", "other")]
+    out = [r for r in p.format_preferences(spark.createDataFrame(lost + talk, schema), spark.createDataFrame(other + talk, schema)).collect()]
+    assert sum(r["n_turns"] for r in out if r["pair_id"] is not None) == len(talk)
+    got = sorted((r["section"], str(r["first_turn"]), str(r["part"]), r["text"], [tuple(x) for x in r["targets"]], r["n_turns"]) for r in out if r["pair_id"] is None)
+    def row(section, turn, role, text):
+        whole = render(role, text)
+        spans = [(len(role) + 5, len(whole))] if section != "prompt" and role == "assistant" else []
+        return section, str(turn), "None" if turn is None else "0", whole, spans, 1
+    want = [row("prompt" if t == 0 else "chosen", t, r, x) for _, t, r, x in lost] + [row("rejected", t, r, x) for _, t, r, x in other if t != 0]
+    assert got == sorted(want)
+
+
+def test_repeats_without_a_turn_number_count(spark):
+    rows = [(1, None, "user", "hi"), (1, None, "user", "hi"), (1, None, "assistant", "a")]
+    got = run(spark, rows, rows[:1])
+    assert got[1, "chosen", None]["text"] == render("assistant", "a") + render("user", "hi") * 2 and got[1, "rejected", None]["n_turns"] == 1
+
+
+def test_swapped_replies_keep_rows_without_a_conversation(spark):
+    rows = [(None, 0, "user", "q"), (None, 0, "user", "q"), (None, 1, "assistant", "a"), (0, 0, "user", "q0")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert sorted(map(tuple, p.with_other_reply(df).collect()), key=str) == sorted(rows, key=str)
