@@ -6,11 +6,28 @@ import pytest
 from chainlog.llm import mixing as m
 
 
-def test_shares():
-    assert m.shares([100, 100, 100], [1, 2, 3], 3) == [50, 100, 150]
-    assert m.shares([10, 1000, 10], [1, 2, 3], 3) == [30.0, 960.0, 30.0]
-    assert m.shares([5], [1], 3) == [5]
-    assert sum(m.shares([7, 0, 90, 3], [1, 2, 3, 1], 3)) == pytest.approx(100)
+def shares(sizes, weights, most):
+    """Targets in plain Python."""
+    held = set()
+    while True:
+        rest, weight = sum(sizes) - sum(most * sizes[i] for i in held), sum(w for i, w in enumerate(weights) if i not in held)
+        out = [most * s if i in held else rest * weights[i] / weight for i, s in enumerate(sizes)]
+        more = {i for i, s in enumerate(sizes) if i not in held and out[i] > most * s}
+        if not more:
+            return out
+        held |= more
+
+
+@pytest.mark.parametrize("sizes", [[100, 100, 100], [10, 1000, 10], [5], [7, 0, 90, 3], [1, 1, 1, 500, 2, 40, 0], [0, 0]])
+@pytest.mark.parametrize("parts", [100_000, 2])
+def test_targets(spark, monkeypatch, sizes, parts):
+    """More sources than one part of them holds are ranked as if they were one."""
+    monkeypatch.setattr(m, "SOURCE_ROWS", parts)
+    names = [f"s{i}" for i in range(len(sizes) - 1)] + [None]
+    df = spark.createDataFrame([(s, n, 1) for s, n in zip(names, sizes)], "s string, size long, m long")
+    got = {r["__mix_source"]: r["target"] for r in m.source_targets(df, m.Mix()).collect()}
+    want = shares(sizes, [(1, 2, 3)[i % 3] for i in range(len(sizes))], 3) if sum(sizes) else [0.0] * len(sizes)
+    assert got == {("-" if s is None else "+" + s): pytest.approx(t) for s, t in zip(names, want)}
 
 
 def rows(seed, n=3000):
@@ -61,6 +78,31 @@ def test_edges_and_reruns(spark):
     assert sorted(map(str, mixed.collect())) == sorted(map(str, m.mixed(df).collect()))
 
 
+@pytest.mark.parametrize("cell", [2048, 16])
+def test_equal_ids_of_unequal_rows_give_one_result(spark, monkeypatch, cell):
+    """Rows of one id, of none, and repeated rows, over several partitionings; with small cells they are cut by the digest."""
+    monkeypatch.setattr(m, "CELL_ROWS", cell)
+    data = [(i, "a" if i else "b", " ".join(["w"] * (120 + k % 10)) + f" {k}") for k in range(300) for i in (7, None, 0)] + [(7, "a", "same row " * 60)] * 200
+    first, mixes = [], []
+    for parts in (3, 17, 5):
+        df = spark.createDataFrame(data, "doc_id long, source string, text string").repartition(parts, "text")
+        got = m.take(m.sized(df), "doc_id", "source", "size").collect()
+        assert len(got) == len(data)
+        first.append(sorted(map(str, got)))
+        mixes.append(sorted(map(str, m.mixed(df).collect())))
+    assert first[0] == first[1] == first[2] and mixes[0] == mixes[1] == mixes[2]
+    words = sum(r["copies"] * r["size"] for r in got)
+    assert abs(words - sum(r["size"] for r in got)) < 0.03 * words
+
+
+def test_clashing_columns_come_back_untouched(spark):
+    data = [(i, "a" if i % 2 else "b", "w " * (i % 40 + 1), 9.5, -1, "x", i, {"k": "v"}) for i in range(200)]
+    df = spark.createDataFrame(data, "doc_id long, source string, text string, target double, source_size long, size string, copies long, m map<string,string>")
+    got = m.mixed(df)
+    assert got.columns == df.columns and got.count() > 100
+    assert all((r["target"], r["source_size"], r["size"], r["copies"], r["m"]) == (9.5, -1, "x", r["doc_id"], {"k": "v"}) for r in got.collect())
+
+
 def test_only_empty_texts(spark):
     df = spark.createDataFrame([(1, "a", ""), (2, "b", None)], "doc_id long, source string, text string")
     assert [(r["target"], r["copies"]) for r in m.take(m.sized(df), "doc_id", "source", "size").collect()] == [(0.0, 0)] * 2
