@@ -1,11 +1,14 @@
 """python -m chainlog CONFIG CAPTURED OUT: the three stages over a folder of captured responses.
 
-CAPTURED holds normal.json, internal.json (transaction lists), traces.json, abis.json and mappings.json, each as the readers
-in sources.captured want them. OUT gets a folder with the results of each stage.
+CAPTURED holds normal.json, internal.json (transaction lists), logs.json and blocks.json (transactions by events), traces.json,
+abis.json and mappings.json, and if wanted tx_index.json and code.json, each as the readers in sources.captured want them. A
+source of transactions that is asked for and not there is left out, with a warning. OUT gets a folder with the results of
+each stage.
 """
 
 from __future__ import annotations
 
+import logging
 import sys
 
 from pyspark.sql import SparkSession
@@ -18,13 +21,19 @@ from .sources import captured
 
 
 def read(spark: SparkSession, config: Config, folder: str) -> Captured:
-    lists = [captured.transaction_list(spark, f"{folder}/{name}.json", name) if f"{name}_transactions" in config.sources else None for name in ("normal", "internal")]
-    have = [x for x in lists if x is not None]
+    there = lambda name: captured.there(spark, f"{folder}/{name}.json")
+    lists = [captured.transaction_list(spark, f"{folder}/{name}.json", name) if f"{name}_transactions" in config.sources and there(name) else None for name in ("normal", "internal")]
+    by_events = None
+    if "transactions_by_events" in config.sources and there("logs") and there("blocks"):
+        by_events = captured.transactions_of_logs(captured.logs(spark, f"{folder}/logs.json"), captured.blocks(spark, f"{folder}/blocks.json"))
+    have = [x for x in (*lists, by_events) if x is not None]
     return Captured(
-        captured.transactions(*lists, None),
+        captured.transactions(*lists, by_events),
         captured.traces(spark, f"{folder}/traces.json"),
         captured.abis(spark, f"{folder}/abis.json"),
         captured.mappings(spark, f"{folder}/mappings.json"),
+        tx_index=captured.tx_index(spark, f"{folder}/tx_index.json") if there("tx_index") else None,
+        code=captured.code(spark, f"{folder}/code.json") if there("code") else None,
         touches=captured.touches(*have),
     )
 
@@ -32,6 +41,7 @@ def read(spark: SparkSession, config: Config, folder: str) -> Captured:
 def main(args: list[str]) -> None:
     if len(args) != 3:
         sys.exit(__doc__)
+    logging.basicConfig(level=logging.INFO, format="%(asctime)s %(levelname)s %(name)s: %(message)s")
     spark = SparkSession.builder.appName("chainlog").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     trace.register(spark)
     decoding.register(spark)

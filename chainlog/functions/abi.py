@@ -179,10 +179,22 @@ def decode_values(kinds: list[str], data: bytes) -> list:
     return _sequence(kinds, data, 0)
 
 
-def as_bytes(text: str) -> bytes:
+def as_bytes(text: str | None) -> bytes:
+    if text is None:
+        raise EventError("no data")
     return bytes.fromhex(text[2:] if text[:2] in ("0x", "0X") else text)
 
 
+def in_topic(kind: str) -> bool:
+    """Whether an indexed value of this type stands in its topic; of others (dynamic ones, arrays, tuples) the topic is a hash."""
+    return not (is_dynamic(kind) or _array(kind) or kind.startswith("("))
+
+
+def names_of(inputs: list[dict]) -> list[str]:
+    """The inputs' names; one without a name is arg and its position, from 0."""
+    return [p.get("name") or f"arg{i}" for i, p in enumerate(inputs)]
+
+
 def shown(value) -> str:
     """Canonical text: numbers in decimal, addresses and bytes in lower-case hex, arrays and tuples as JSON."""
     if isinstance(value, bool):
@@ -201,40 +213,34 @@ def _plain(value):
 def decode_log(entry: dict, topics: list[str], data: str) -> list[tuple[str, str, bool]]:
     """(name, value, decoded) of an event's inputs; topics without the first.
 
-    A log without topics for an entry with indexed inputs has them all in its data. Data of 0x count as zeros. An indexed
-    value that takes more than a topic stays as it is, not decoded.
+    A log without topics for an entry with indexed inputs has them all in its data. Data of 0x count as zeros. Of an indexed
+    value that takes more than a topic there is a hash, which stays as it is, not decoded.
     """
-    inputs = entry["inputs"]
-    n = sum(bool(p["indexed"]) for p in inputs)
-    if n and not topics:
-        plain = inputs
-    elif n != len(topics):
+    inputs = [(name, type_of(p), bool(p.get("indexed"))) for name, p in zip(names_of(entry["inputs"]), entry["inputs"])]
+    n = sum(indexed for _, _, indexed in inputs)
+    if topics and n != len(topics) or n < len(topics):
         raise EventError(f"{n} indexed inputs, {len(topics)} topics for them")
-    else:
-        plain = [p for p in inputs if not p["indexed"]]
-    kinds = [type_of(p) for p in plain]
+    kinds = [kind for _, kind, indexed in inputs if not (topics and indexed)]
     body = bytes(WORD * len(kinds)) if kinds and data == "0x" else as_bytes(data)
     try:
         values, words = iter(decode_values(kinds, body)), iter(topics)
     except (UnicodeDecodeError, OverflowError) as e:
         raise EventError(str(e)) from e
     out = []
-    for p in inputs:
-        if topics and p["indexed"]:
-            word = as_bytes(next(words))
-            try:
-                out.append((p["name"], shown(_value(p["type"], word, 0)), True))
-            except (ShortData, UnicodeDecodeError, OverflowError):
-                out.append((p["name"], shown(word), False))
-        else:
-            out.append((p["name"], shown(next(values)), True))
+    for name, kind, indexed in inputs:
+        if not (topics and indexed):
+            out.append((name, shown(next(values)), True))
+            continue
+        word = as_bytes(next(words))
+        stands = in_topic(kind)
+        out.append((name, shown(_value(kind, word, 0) if stands else word), stands))
     return out
 
 
 def decode_call(entry: dict, data: str) -> list[tuple[str, str]]:
     """(name, value) of a call's inputs; data with the selector."""
     kinds = [type_of(p) for p in entry["inputs"]]
-    return [(p["name"], shown(v)) for p, v in zip(entry["inputs"], decode_values(kinds, as_bytes(data)[4:]))]
+    return [(name, shown(v)) for name, v in zip(names_of(entry["inputs"]), decode_values(kinds, as_bytes(data)[4:]))]
 
 
 def encode_values(kinds: list[str], values: list) -> bytes:

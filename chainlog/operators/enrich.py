@@ -77,6 +77,15 @@ def contract_sensitive(df: DataFrame, split: tuple[str, ...]) -> DataFrame:
     return df.withColumn("Activity_contract_sensitive", F.when(fit, F.concat("Activity", F.lit(", contract: "), "contract_name")))
 
 
+def contract_sensitive_by(df: DataFrame, split: DataFrame) -> DataFrame:
+    """The same for the activities in the column `key` of a table."""
+    names = split.select(F.col("key").alias("__split")).distinct().withColumn("__is_split", F.lit(True))
+    flagged = df.join(names, df["Activity"] == names["__split"], "left")
+    label = F.col("contract_name") if "contract_name" in df.columns else F.lit(None).cast("string")
+    made = F.when(F.col("__is_split") & label.isNotNull(), F.concat("Activity", F.lit(", contract: "), label))
+    return flagged.withColumn("Activity_contract_sensitive", made).drop("__split", "__is_split")
+
+
 def token_sensitive(df: DataFrame) -> DataFrame:
     return combine_attributes(df, "Activity", "tokenType_name", "Activity_token_sensitive", ", token type: ")
 
@@ -125,10 +134,14 @@ def market_type(df: DataFrame, market: str = "market") -> DataFrame:
     return df.where((F.col("Activity") == "create market") & F.col("marketType").isNotNull()).select(market, F.coalesce(name, code).alias("marketType"))
 
 
-def join_market(df: DataFrame, info: DataFrame, market: str = "market", suffix: str = "_propagated") -> DataFrame:
-    """LEFT join on the market, in which null equals null; columns that both have get the suffix on the right."""
+def join_market(df: DataFrame, info: DataFrame, market: str = "market", suffix: str = "_propagated", null_matches: bool = True) -> DataFrame:
+    """LEFT join on the market; columns that both have get the suffix on the right.
+
+    With null_matches a null market equals a null market, so n and m rows without one make n * m; a run does without.
+    """
     right = info.select(*[F.col(c).alias("__m" if c == market else c + suffix if c in df.columns else c) for c in info.columns])
-    return df.join(right, df[market].eqNullSafe(right["__m"]), "left").drop("__m")
+    same = df[market].eqNullSafe(right["__m"]) if null_matches else df[market] == right["__m"]
+    return df.join(right, same, "left").drop("__m")
 
 
 def creations_of(creations: DataFrame, dapp: bool) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import written
-from .components import connected_components
 from .filters import creations
 
 
@@ -39,11 +38,6 @@ def create_closure(edges: DataFrame, seeds: DataFrame, deny: DataFrame | None =
     raise RuntimeError(f"the closure did not settle in {max_rounds} rounds")
 
 
-def creation_families(edges: DataFrame) -> DataFrame:
-    """(address, family) of all contracts at once: closures of all seeds are unions of families."""
-    return connected_components(edges.select(F.col("from").alias("a"), F.col("to").alias("b")), written).select(F.col("node").alias("address"), F.col("component").alias("family"))
-
-
 def deny_list(addresses: DataFrame, deny: DataFrame) -> DataFrame:
     return addresses.join(deny.select("address").distinct(), "address", "left_anti")
 

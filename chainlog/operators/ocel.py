@@ -78,6 +78,13 @@ def ocel_events(df: DataFrame) -> DataFrame:
     return out.dropna("any").drop("tracePos")
 
 
+def places(df: DataFrame, by_index: bool = False) -> DataFrame:
+    """(ocel:eid, place): where a step stands in the log, by numbers: time, within a block by transaction if asked for, position."""
+    index = [F.col("transactionIndex")] if by_index and "transactionIndex" in df.columns else []
+    place = F.struct(F.col("timeStamp").alias("time"), *index, F.col("tracePos").cast("long").alias("position"))
+    return df.select(event_id().alias("ocel:eid"), place.alias("place")).where("`ocel:eid` IS NOT NULL").dropDuplicates(["ocel:eid"])
+
+
 def in_log_order(df: DataFrame, by_index: bool = False) -> DataFrame:
     """Rows of a log as sinks want them: by time, within a block by transaction if asked for, then by position."""
     return df.orderBy("timeStamp", *["transactionIndex"] * by_index, *["tracePos"] * ("tracePos" in df.columns))

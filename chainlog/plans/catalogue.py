@@ -92,19 +92,19 @@ def ocel_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 # transaction lists
 
 SOURCES = """sources AS (
-  SELECT event_id % 4000 AS hash, user_id AS "blockNumber", event_id AS seq, 'normal' AS source, 0 AS rank FROM events WHERE event_type <> 'error'
-  UNION ALL SELECT event_id % 4000, user_id, event_id, 'internal', 1 FROM events WHERE event_id % 3 = 0
-  UNION ALL SELECT event_id % 4000, NULL, event_id, 'events', 2 FROM events WHERE event_id % 10 = 1
+  SELECT event_id // 4 AS hash, user_id AS "blockNumber", event_id AS seq, 'normal' AS source, 0 AS rank FROM events
+  UNION ALL SELECT event_id // 4, user_id, event_id, 'internal', 1 FROM events WHERE event_type IN ('purchase', 'error')
+  UNION ALL SELECT event_id // 4, NULL, event_id, 'events', 2 FROM events WHERE event_type = 'click'
 )"""
 
 
 def _sources(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     e = st.read(spark, sf_dir, "events")
-    base_cols = lambda df, *c: df.select(F.pmod("event_id", F.lit(4000)).alias("hash"), *c, F.col("event_id").alias("seq"))
+    base_cols = lambda df, *c: df.select(F.expr("event_id DIV 4").alias("hash"), *c, F.col("event_id").alias("seq"))
     parts = (
-        base_cols(e.where("event_type <> 'error'"), F.col("user_id").alias("blockNumber")),
-        base_cols(e.where("event_id % 3 = 0"), F.col("user_id").alias("blockNumber")),
-        base_cols(e.where("event_id % 10 = 1")),
+        base_cols(e, F.col("user_id").alias("blockNumber")),
+        base_cols(e.where("event_type IN ('purchase', 'error')"), F.col("user_id").alias("blockNumber")),
+        base_cols(e.where("event_type = 'click'")),
     )
     return [df.withColumns({"source": F.lit(s), "rank": F.lit(i)}) for i, (df, s) in enumerate(zip(parts, ("normal", "internal", "events")))]
 
@@ -611,6 +611,57 @@ def decode_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoding.decode_functions(calls, _abis(spark)).select("event_id", "name", p["market"].alias("market"), p["to_function_internal"].alias("receiver"), p["gas_functionAttribute"].alias("gas_attribute"))
 
 
+TUPLE = [{"name": "id", "type": "uint256"}, {"name": "parts", "type": "uint256[]"}]
+#: A contract for each of four users' remainders, each with its own event and function of tuples, texts and unnamed inputs.
+ORDER_ABIS = {
+    f"0xd{i}": [
+        {"type": "event", "name": f"Order{i}", "inputs": [{"name": "who", "type": "address", "indexed": True}, {"name": "key", "type": "tuple", "components": TUPLE, "indexed": True}, {"name": "note", "type": "string", "indexed": False}, {"name": "order", "type": "tuple", "components": TUPLE, "indexed": False}, {"name": "", "type": "uint256", "indexed": False}]},
+        {"type": "function", "name": f"place{i}", "inputs": [{"name": "", "type": "address"}, {"name": "_orders", "type": "tuple[]", "components": TUPLE}, {"name": "", "type": "bytes"}]},
+    ]
+    for i in range(4)
+}
+
+
+def _order_abis(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(a, json.dumps(entries)) for a, entries in ORDER_ABIS.items()], "address string, abi string")
+
+
+def _by_contract(make) -> Column:
+    """make(entries) of the contract that a user's remainder names."""
+    out = F.lit(None).cast("string")
+    for i, entries in enumerate(ORDER_ABIS.values()):
+        out = F.when(F.col("user_id") % 4 == i, F.lit(make(entries))).otherwise(out)
+    return out
+
+
+@query("""SELECT event_id, 'Order' || user_id % 4 AS name, printf('0x%040x', user_id) AS who, printf('0x%064x', event_id) AS key, 'key' AS undecoded, 'hello' AS note,
+  '["' || event_id || '",["' || (event_id + 1) || '","' || (event_id + 2) || '"]]' AS "order", user_id::VARCHAR AS unnamed FROM events""")
+def decode_events_of_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = st.read(spark, sf_dir, "events")
+    n = lambda x: word(F.lit(x))
+    text = F.rpad(F.lower(F.hex(F.lit("hello"))), 64, "0")
+    order = [word(F.col("event_id")), n(0x40), n(2), word(F.col("event_id") + 1), word(F.col("event_id") + 2)]
+    data = F.concat(F.lit("0x"), n(0x60), n(0xA0), word(F.col("user_id")), n(5), text, *order)
+    first = _by_contract(lambda entries: abi.event_topic(entries[0]))
+    first = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("0x"), F.upper(F.substring(first, 3, 64)))).otherwise(first)
+    topics = F.array(first, *[F.concat(F.lit("0x"), word(F.col(c))) for c in ("user_id", "event_id")])
+    logs = e.select("event_id", F.concat(F.lit("0xD"), F.col("user_id") % 4).alias("address"), topics.alias("topics"), data.alias("data"))
+    p = F.col("params")
+    return decoding.decode_events(logs, _order_abis(spark)).select("event_id", "name", p["who"].alias("who"), p["key"].alias("key"), F.array_join("undecoded_params", ",").alias("undecoded"), p["note"].alias("note"), p["order"].alias("order"), p["arg4"].alias("unnamed"))
+
+
+@query("""SELECT event_id, '<Function place' || user_id % 4 || '(address,(uint256,uint256[])[],bytes)>' AS name, printf('0x%040x', user_id) AS first_unnamed,
+  '[["' || event_id || '",[]],["' || user_id || '",["' || event_id || '"]]]' AS orders, '0x0102' AS last_unnamed FROM events""")
+def decode_functions_of_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = st.read(spark, sf_dir, "events")
+    n = lambda x: word(F.lit(x))
+    one, other = [word(F.col("event_id")), n(0x40), n(0)], [word(F.col("user_id")), n(0x40), n(1), word(F.col("event_id"))]
+    body = [word(F.col("user_id")), n(0x60), n(0x1A0), n(2), n(0x40), n(0xA0), *one, *other, n(2), F.rpad(F.lit("0102"), 64, "0")]
+    calls = e.select("event_id", F.concat(F.lit("0xD"), F.col("user_id") % 4).alias("to"), F.concat(_by_contract(lambda entries: abi.selector(entries[1])), *body).alias("input"))
+    p = F.col("params")
+    return decoding.decode_functions(calls, _order_abis(spark)).select("event_id", "name", p["arg0"].alias("first_unnamed"), p["orders"].alias("orders"), p["arg2"].alias("last_unnamed"))
+
+
 @query("""SELECT event_id, 1 AS event_pos, printf('0x%040x', user_id) AS address, printf('0x%064x', event_id) AS topic, printf('0x%016x', user_id) AS data FROM events""")
 def decode_structlogs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = st.read(spark, sf_dir, "events")

@@ -67,6 +67,7 @@ class Config:
             stages=frozenset(on(part("stages"), STAGES)),
             sensitive_events=bool(part("misc", "sensitive_events", default=False)),
             log_folder=part("misc", "log_folder", default="output"),
+            order_by_tx_index=bool(part("misc", "order_by_tx_index", default=False)),
             node_url=url,
         )
 

@@ -3,18 +3,23 @@ writes every result and reads it again, so a stage can be left out when its resu
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.decoding import decode_events, decode_functions
+from ..operators import addresses as addresses_of
 from ..operators import base, enrich, filters, ocel, relational
 from ..operators.graph import create_closure, creation_edges, level_expand
 from ..operators.trace import flatten_traces
 from ..sources import captured, sinks
+from ..sources.tables import written
 from .config import Config
 
+log_of = logging.getLogger("chainlog")
+
 #: Parameters of decoded steps that the log uses, as columns.
 PARAMS = ("sender", "target", "token", "tokenType", "orderId", "orderType", "market", "marketType", "extraInfo")
 NAME_MAPS = {
@@ -37,6 +42,7 @@ class Captured:
     mappings: DataFrame  # map_name, key, value
     tx_index: DataFrame | None = None  # hash, ix
     touches: DataFrame | None = None  # hash, contract: every contract that a transaction was listed for
+    code: DataFrame | None = None  # address, block, code: what stood at an address
 
 
 def addresses(spark: SparkSession, values: tuple[str, ...]) -> DataFrame:
@@ -47,7 +53,7 @@ def extract(spark: SparkSession, config: Config, data: Captured) -> dict[str, Da
     """trace: a row for each step of each transaction in the block range; contracts: those of the DApp.
 
     With touches, only transactions count that touch the DApp's contracts as they become known, level by level; without, all
-    that were captured.
+    that were captured. Traces are parsed and walked once: the flat trace is a table before the levels are looked for.
     """
     tx = data.transactions.where(F.col("blockNumber").between(config.min_block, config.max_block)).select("hash", "blockNumber", "timeStamp")
     trace = flatten_traces(tx.join(data.traces, "hash"))
@@ -55,7 +61,7 @@ def extract(spark: SparkSession, config: Config, data: Captured) -> dict[str, Da
         trace = relational.with_transaction_index(trace, data.tx_index)
     else:
         trace = trace.withColumns({"transactionIndex": F.lit(None).cast("long"), "tx_index_missing": F.lit(True)})
-    trace = base.base_transform(trace)
+    trace = written(base.base_transform(trace), "trace")
     deny = addresses(spark, config.non_dapp) if config.non_dapp else None
     seeds = addresses(spark, config.dapp)
     if data.touches is None:
@@ -105,24 +111,48 @@ def transform(config: Config, decoded: dict[str, DataFrame], trace: DataFrame, c
             if category == "events":
                 df = enrich.rename_attribute(df, "tokenType", "tokenType_name", maps("token_map"))
             if config.sensitive_events:
-                split = tuple(r["key"] for r in maps(f"split_{category}").collect())  # a list of activity names from the mappings
-                df = enrich.contract_sensitive(df, split)
+                df = enrich.contract_sensitive_by(df, maps(f"split_{category}"))
                 if category == "events":
                     df = enrich.token_sensitive(df)
                     info, types = enrich.extra_info(df, {"info_description": "$.description"}), enrich.market_type(df)
                 if info is not None:
-                    df = enrich.join_market(enrich.join_market(df, info), types)
+                    df = enrich.join_market(enrich.join_market(df, info, null_matches=False), types, null_matches=False)
                 if category == "zero_value_calls":
                     df = enrich.activity_override(df)
         out[name] = df
     return out
 
 
+ADDRESSES = ("address", "from", "to", "sender", "target", "token", "market")
+
+
+def address_dictionary(frames: list[DataFrame], contracts: DataFrame, code: DataFrame, mappings: DataFrame) -> DataFrame:
+    """(address, dapp_flag, type, contract_label) of every address that a category names. A known contract's label counts, or a
+    factory's, or the one that its steps were given."""
+    blocks = addresses_of.combined_blocks([addresses_of.address_blocks(df, list(ADDRESSES)) for df in frames])
+    own = [df.select(F.col("address_lower").alias("a"), F.col("contract_name").alias("l")).where("l IS NOT NULL") for df in frames if {"address_lower", "contract_name"} <= set(df.columns)]
+    given = [captured.mapping(mappings, name).select(F.lower("key").alias("a"), F.col("value").alias("l")) for name in ("map_specific_known_contracts", "factory_contract_map")]
+    ranked = relational.union_sources(*[df.withColumn("rank", F.lit(i)) for i, df in enumerate([*given, *own])])
+    labels = ranked.groupBy("a").agg(F.min_by("l", F.struct("rank", "l")).alias("contract_label")).withColumnRenamed("a", "address")
+    return addresses_of.address_dictionary(blocks, contracts, code, labels)
+
+
 def build_log(frames: list[DataFrame]) -> dict[str, DataFrame]:
     df = ocel.ocel_base(frames)
     return {"objects": ocel.ocel_objects(df), "events": ocel.ocel_events(df), "e2o": ocel.ocel_e2o(df)}
 
 
+def log_order(frames: list[DataFrame], by_index: bool) -> DataFrame:
+    """(ocel:eid, place) of every step: the place is (time, transaction index if asked for, position), in numbers."""
+    wanted = ("txHash", "tracePos", "timeStamp", *["transactionIndex"] * by_index)
+    return ocel.places(ocel.ocel_base(frames, wanted), by_index)
+
+
+def in_order(df: DataFrame, order: DataFrame) -> DataFrame:
+    """Rows of events or relations as the log has them; relations of one event by their object."""
+    return df.join(order, "ocel:eid", "left").orderBy("place", *[c for c in ("ocel:eid", "ocel:oid", "ocel:qualifier") if c in df.columns]).select(*df.columns)
+
+
 def run(spark: SparkSession, config: Config, data: Captured, root: str, xml: bool = True) -> dict[str, DataFrame]:
     """The stages that the configuration asks for; gives the log's three tables. An error in a stage ends the run."""
     at = lambda stage, name: f"{sinks.folder(root, config.log_folder, stage)}/{name}.parquet"
@@ -130,7 +160,10 @@ def run(spark: SparkSession, config: Config, data: Captured, root: str, xml: boo
     def kept(stage: str, frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
         for name, df in frames.items():
             df.write.mode("overwrite").parquet(at(stage, name))
-        return {name: spark.read.schema(df.schema).parquet(at(stage, name)) for name, df in frames.items()}
+        out = {name: spark.read.schema(df.schema).parquet(at(stage, name)) for name, df in frames.items()}
+        for name, df in out.items():
+            log_of.info("%s: %s has %d rows", stage, name, df.count())
+        return out
 
     def read(stage: str, names: list[str]) -> dict[str, DataFrame]:
         return {n: spark.read.parquet(at(stage, n)) for n in names}
@@ -141,7 +174,12 @@ def run(spark: SparkSession, config: Config, data: Captured, root: str, xml: boo
     if "transformation" not in config.stages:
         return {}
     frames = kept("transformation", transform(config, decoded, first["trace"], first["contracts"], data.mappings))
-    log = kept("transformation", {f"ocel_{k}": v for k, v in build_log([frames[n] for n in names]).items()})
+    tables = build_log([frames[n] for n in names])
+    order = log_order([frames[n] for n in names], config.order_by_tx_index)
+    tables = {"objects": tables["objects"].orderBy("ocel:type", "ocel:oid"), **{k: in_order(tables[k], order) for k in ("events", "e2o")}}
+    log = kept("transformation", {f"ocel_{k}": v for k, v in tables.items()})
+    if data.code is not None:
+        kept("transformation", {"address_dictionary": address_dictionary([frames[n] for n in names], first["contracts"], data.code, data.mappings)})
     if xml:
-        sinks.write_ocel_xml(log["ocel_objects"], log["ocel_events"], log["ocel_e2o"], f"{sinks.folder(root, config.log_folder, 'transformation')}/log.xmlocel")
+        sinks.write_ocel_xml(log["ocel_objects"], log["ocel_events"], log["ocel_e2o"], f"{sinks.folder(root, config.log_folder, 'transformation')}/log.xmlocel", order=order)
     return log

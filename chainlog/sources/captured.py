@@ -3,11 +3,15 @@ Spark reads in parallel, and every stage starts from those."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import logging
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.relational import keep_last, union_sources
 
+log = logging.getLogger("chainlog")
 LIST = "status string, message string, result array<struct<hash:string,blockNumber:string,timeStamp:string,contractAddress:string>>"
 
 
@@ -22,6 +26,47 @@ def transaction_list(spark: SparkSession, path: str, source: str) -> DataFrame:
     return rows.select("hash", F.col("blockNumber").cast("long").alias("blockNumber"), F.col("timeStamp").cast("long").alias("timeStamp"), "contractAddress", F.lit(source).alias("source"))
 
 
+def there(spark: SparkSession, path: str) -> bool:
+    """Whether something was captured under this name."""
+    try:
+        spark.read.text(path)
+    except AnalysisException:
+        log.warning("nothing was captured in %s", path)
+        return False
+    return True
+
+
+def _number(c: Column) -> Column:
+    """A block number as nodes (0x...) or explorers (decimal) write it."""
+    return F.when(F.startswith(c, F.lit("0x")), F.conv(F.substring(c, 3, 16), 16, 10)).otherwise(c).cast("long")
+
+
+def logs(spark: SparkSession, path: str) -> DataFrame:
+    """(transactionHash, blockNumber, address) of captured log responses, one JSON document a line; those without a result
+    have no rows. Ranges that were asked for again may repeat a log."""
+    pages = spark.read.schema("result array<struct<transactionHash:string,blockNumber:string,address:string>>").json(path)
+    rows = pages.select(F.explode("result").alias("l")).select("l.*")
+    return rows.select("transactionHash", _number(F.col("blockNumber")).alias("blockNumber"), F.lower("address").alias("address"))
+
+
+def blocks(spark: SparkSession, path: str) -> DataFrame:
+    """(number, timestamp) of captured block responses: {"result": {"number": ..., "timestamp": ...}}."""
+    df = spark.read.schema("result struct<number:string,timestamp:string>").json(path).select("result.*")
+    return df.select(_number(F.col("number")).alias("number"), _number(F.col("timestamp")).alias("timestamp")).where("number IS NOT NULL").dropDuplicates(["number"])
+
+
+def tx_index(spark: SparkSession, path: str) -> DataFrame:
+    """(hash, ix) of captured transactions: {"hash": ..., "transactionIndex": ...}."""
+    df = spark.read.schema("hash string, transactionIndex string").json(path)
+    return df.select("hash", _number(F.col("transactionIndex")).alias("ix")).where("hash IS NOT NULL AND ix IS NOT NULL").dropDuplicates(["hash"])
+
+
+def code(spark: SparkSession, path: str) -> DataFrame:
+    """(address, block, code) of captured code responses: {"address": ..., "block": ..., "result": "0x..."}."""
+    df = spark.read.schema("address string, block string, result string").json(path)
+    return df.select(F.lower("address").alias("address"), _number(F.col("block")).alias("block"), F.col("result").alias("code"))
+
+
 def transactions_of_logs(logs: DataFrame, blocks: DataFrame) -> DataFrame:
     """The same from captured logs (transactionHash, blockNumber, address) and blocks (number, timestamp)."""
     df = logs.join(blocks.select(F.col("number").alias("__n"), F.col("timestamp").cast("long").alias("timeStamp")), F.col("blockNumber") == F.col("__n"))

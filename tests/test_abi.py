@@ -120,17 +120,73 @@ def test_bogus_abi_falls_back(spark):
     assert [r["abi_source"] for r in decoding.decode_events(logs, abis).collect()] == ["ABI_ERC_20"] * 3
 
 
-def test_struct_logs():
+def struct_logs(spark, steps, own):
+    df = spark.createDataFrame([("t", json.dumps(steps), own)], "hash string, struct_logs string, `to` string")
+    return decoding.extract_struct_logs(df).orderBy("event_pos").collect()
+
+
+def step(op, depth, stack=(), memory=()):
+    return {"op": op, "depth": depth, "stack": list(stack), "memory": list(memory)}
+
+
+def test_struct_logs(spark):
     word = "00" * 31 + "2a"
-    steps = [
-        {"op": "CREATE", "depth": 1, "stack": [], "memory": []},
-        {"op": "LOG0", "depth": 2, "stack": ["20", "0"], "memory": [word]},
-        {"op": "STOP", "depth": 1, "stack": ["0" * 24 + "0b" * 20], "memory": []},
-        {"op": "LOG1", "depth": 1, "stack": [word, "1", "1f"], "memory": [word]},
-    ]
-    assert decoding.struct_logs(steps, A) == [{"address": B, "topics": [], "data": "0x" + word}, {"address": A, "topics": ["0x" + word], "data": "0x2a"}]
-    with pytest.raises(abi.StructLogError):
-        decoding.struct_logs([steps[0], {"op": "LOG1", "depth": 1, "stack": ["0"], "memory": []}])
+    steps = [step("CREATE", 1), step("LOG0", 2, ["20", "0"], [word]), step("STOP", 1, ["0" * 24 + "0b" * 20]), step("LOG1", 1, [word, "1", "1f"], [word])]
+    got = struct_logs(spark, steps, A)
+    assert [(r["event_pos"], r["address"], r["topics"], r["data"], r["error"]) for r in got] == [(1, B, [], "0x" + word, None), (2, A, ["0x" + word], "0x2a", None)]
+    bad = struct_logs(spark, [steps[0], step("LOG1", 1, ["0"])], A)
+    assert bad[0]["error"].startswith("StructLogError: step 1 ") and bad[0]["data"] is None
+    assert [r["address"] for r in struct_logs(spark, steps, None)] == [None, None]
+
+
+def test_struct_logs_in_nested_frames(spark):
+    """A call that opens no frame, a call in a created contract's constructor, and logs after each return."""
+    of = lambda d: "0x" + d * 20
+    call = lambda d, depth: step("CALL", depth, ["0" * 24 + d * 20, "0x9"])
+    log = lambda depth: step("LOG0", depth, ["0x0", "0x0"], [""])
+    steps = [log(1), call("01", 1), log(1), step("CREATE2", 1), log(2), call("02", 2), log(3), log(2), step("POP", 1, ["07" * 20]), log(1), call("03", 1), log(2)]
+    assert [r["address"] for r in struct_logs(spark, steps, A)] == [A, A, of("07"), of("02"), of("07"), A, of("03")]
+
+
+def test_decoded_struct_logs(spark):
+    entry = abi._event("Hit", "uint256 indexed n", "uint256 amount")
+    n, amount = "00" * 31 + "05", "00" * 31 + "09"
+    steps = json.dumps([step("PUSH1", 1), step("LOG2", 1, [n, abi.event_topic(entry)[2:], "20", "0"], [amount]), step("LOG1", 1, ["77" * 32, "0", "0"], [""])])
+    traces = spark.createDataFrame([("t", steps, A)], "hash string, struct_logs string, `to` string")
+    abis = spark.createDataFrame([(A, json.dumps([entry]))], "address string, abi string")
+    got = decoding.decode_struct_logs(traces, abis, allow_undecoded=True).orderBy("event_pos").collect()
+    assert [(r["name"], r["params"], r["decoded"]) for r in got] == [("Hit", {"n": "5", "amount": "9"}, True), (None, None, False)]
+    with pytest.raises(Exception, match="undecodable"):
+        decoding.decode_struct_logs(traces, abis).collect()
+
+
+def test_indexed_tuples_and_arrays_stay_encoded():
+    parts = [{"name": "a", "type": "uint256"}, {"name": "b", "type": "string"}]
+    entry = {"name": "Set", "inputs": [{"name": "t", "type": "tuple", "components": parts, "indexed": True}, {"name": "xs", "type": "uint256[1]", "indexed": True}, {"name": "n", "type": "uint256", "indexed": True}]}
+    words = ["0x" + c * 64 for c in "ab"] + ["0x" + "0" * 63 + "7"]
+    assert abi.decode_log(entry, words, "0x") == [("t", words[0], False), ("xs", words[1], False), ("n", "7", True)]
+
+
+def test_topics_in_upper_case():
+    t = TOPIC["Transfer(address,address,uint256)"]
+    upper = ["0X" + x[2:].upper() for x in (t, topic("address", A), topic("address", B))]
+    assert decode(upper, topic("uint256", 5)) == decode([t, topic("address", A), topic("address", B)], topic("uint256", 5))
+
+
+def test_unnamed_and_repeated_inputs():
+    entry = {"name": "f", "inputs": [{"name": "", "type": "uint256"}, {"type": "uint256"}, {"name": "x", "type": "uint256"}, {"name": "_x", "type": "uint256"}]}
+    data = abi.selector(entry) + abi.encode_values(["uint256"] * 4, [1, 2, 3, 4]).hex()
+    assert decoding.decode_one_call(data, json.dumps(entry)) == ("<Function f(uint256,uint256,uint256,uint256)>", {"arg0": "1", "arg1": "2", "x": "3", "x_3": "4"}, True, None)
+    event = {"name": "E", "inputs": [{"name": "", "type": "uint256", "indexed": False}, {"name": "", "type": "uint256", "indexed": False}]}
+    got = decode(["0x" + "1" * 64], "0x" + abi.encode_values(["uint256"] * 2, [8, 9]).hex(), event)
+    assert got[1] == {"arg0": "8", "arg1": "9"}
+
+
+def test_null_and_broken_data_are_no_crash():
+    entry = abi.FALLBACK_ABIS["ABI_ERC_20"][0]
+    t = abi.event_topic(entry)
+    for data in (None, "0xzz", "0x0"):
+        assert not decode([t, topic("address", A), topic("address", B)], data)[3]
 
 
 def test_sql_functions(spark):

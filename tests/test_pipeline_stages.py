@@ -103,6 +103,29 @@ def test_command_line(spark, files, tmp_path):
     assert list((tmp_path / "out/output/transformation/log.xmlocel").glob("part-*"))
 
 
+def test_transactions_from_logs_only(spark, files, tmp_path):
+    """A transaction that no list has, only a log; with captured indexes, code, and an order by numbers."""
+    d = tmp_path / "captured"
+    d.mkdir()
+    write = lambda name, xs: (d / name).write_text("".join(json.dumps(x) + "\n" for x in xs))
+    for name in ("normal.json", "abis.json", "mappings.json"):
+        (d / name).write_text(Path(f"{files}/{name}").read_text())
+    inner = [{"type": "CALL", "from": USER, "to": ROOT, "value": "0x1", "input": "0x"} for _ in range(12)]
+    write("traces.json", [{"hash": h, "response": {"result": {"type": "CALL", "from": USER, "to": ROOT, "value": "0x5", "input": "0x", "calls": inner}}} for h in ("t1", "only_log")])
+    write("logs.json", [{"result": [{"transactionHash": "only_log", "blockNumber": "0x3", "address": ROOT}]}, {"result": None}, {"result": [{"transactionHash": "only_log", "blockNumber": "0x3", "address": ROOT.upper()}]}])
+    write("blocks.json", [{"result": {"number": "0x3", "timestamp": hex(1530000001)}}])
+    write("tx_index.json", [{"hash": "t1", "transactionIndex": "0x9"}, {"hash": "only_log", "transactionIndex": "2"}])
+    write("code.json", [{"address": ROOT, "block": "0x1", "result": "0x60"}, {"address": USER, "block": 1, "result": "0x"}])
+    (tmp_path / "config.json").write_text(json.dumps({"contracts": {"dapp": [ROOT]}, "block_range": {"min_block": 0, "max_block": 10}, "misc": {"order_by_tx_index": True}}))
+    main([str(tmp_path / "config.json"), str(d), str(tmp_path / "out")])
+    at = lambda name: spark.read.parquet(f"{tmp_path}/out/output/{name}.parquet")
+    trace = at("extraction/trace")
+    assert {(r["hash"], r["transactionIndex"]) for r in trace.select("hash", "transactionIndex").distinct().collect()} == {("t1", 9), ("only_log", 2)}
+    ids = [line.split('"')[1] for line in "".join(p.read_text() for p in sorted((tmp_path / "out/output/transformation/log.xmlocel").glob("part-*"))).split("\n") if line.startswith("<event id")]
+    assert ids == [f"EID_{h}_{i}" for h in ("only_log", "t1") for i in range(1, 14)]
+    assert {(r["address"], r["dapp_flag"], r["type"], r["contract_label"]) for r in at("transformation/address_dictionary").collect()} == {(ROOT, "dapp", "CA", "MarketXFactory"), (USER, "non_dapp", "EOA", None)}
+
+
 @pytest.mark.parametrize("version", ["2.0", "1.0"])
 def test_xml(spark, tmp_path, version):
     objects = spark.createDataFrame([("EOA_a&b", "EOA", "EOA"), ("TOKEN_1", "TOKEN", None)], "`ocel:oid` string, `ocel:type` string, category string")
@@ -156,6 +179,12 @@ def test_market_null_matches_null(spark):
     assert [g for g in got if g[1] is not None] == [(1, 7), (2, 8), (2, 9)] and (3, None) in got
 
 
+def test_market_null_may_match_nothing(spark):
+    left = spark.createDataFrame([(1, None), (2, "m")], "i int, market string")
+    right = spark.createDataFrame([(None, 7), ("m", 8)], "market string, i int")
+    assert sorted((r["i"], r["i_propagated"]) for r in enrich.join_market(left, right, null_matches=False).collect()) == [(1, None), (2, 8)]
+
+
 def test_broken_json_and_missing_columns(spark):
     df = spark.createDataFrame([("create market", "a", '{"d": "cut he'), ("create market", "b", None), ("create market", "c", "{nonsense"), ("other", "d", "{}")], "Activity string, market string, extraInfo string")
     got = {r["market"]: (r["d"], r["extra_info_broken"]) for r in enrich.extra_info(df, {"d": "$.d"}).collect()}
