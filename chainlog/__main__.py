@@ -18,6 +18,7 @@ from .operators import trace
 from .plans.config import Config
 from .plans.pipeline import Captured, run
 from .sources import captured
+from .sources.tables import scratch
 
 
 def read(spark: SparkSession, config: Config, folder: str) -> Captured:
@@ -46,7 +47,9 @@ def main(args: list[str]) -> None:
     trace.register(spark)
     decoding.register(spark)
     config = Config.load(args[0])
-    for name, df in run(spark, config, read(spark, config, args[1]), args[2]).items():
+    with scratch(spark):
+        tables = run(spark, config, read(spark, config, args[1]), args[2])
+    for name, df in tables.items():
         df.createOrReplaceTempView(name)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def connected_components(edges: DataFrame, write: Callable[[DataFrame, str], DataFrame], max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame, write: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """(node, component) of every node that has an edge (a, b); a component is named by its least node.
 
     Each round, a node takes the least label among its neighbours' and its label's own label; stars end in two rounds and
@@ -18,7 +18,7 @@ def connected_components(edges: DataFrame, write: Callable[[DataFrame, str], Dat
     edges = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b")
     both = write(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = write(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")), "labels")
-    for _ in range(max_rounds):
+    while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
         own = labels.select("node", F.col("component").alias("was"))
         up = labels.select(F.col("node").alias("was"), F.col("component").alias("up"))
@@ -27,4 +27,3 @@ def connected_components(edges: DataFrame, write: Callable[[DataFrame, str], Dat
         labels = new.select("node", "component")
         if new.where("was <> component").isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ def creation_edges(trace: DataFrame) -> DataFrame:
     return df.where("`from` IS NOT NULL AND `to` IS NOT NULL").distinct()
 
 
-def create_closure(edges: DataFrame, seeds: DataFrame, deny: DataFrame | None = None, prune: str = "after", max_rounds: int = 100) -> DataFrame:
+def create_closure(edges: DataFrame, seeds: DataFrame, deny: DataFrame | None = None, prune: str = "after") -> DataFrame:
     """(address): the seeds and all that created them or was created by them, and so on.
 
     prune says whether denied addresses go at the end, when others may have been reached through them, or before. Each round
@@ -29,20 +31,19 @@ def create_closure(edges: DataFrame, seeds: DataFrame, deny: DataFrame | None =
         seeds = seeds.join(gone, "address", "left_anti")
     both = written(both, "creations")
     known = frontier = written(seeds, "known")
-    for _ in range(max_rounds):
+    while True:
         near = both.join(frontier, both["a"] == frontier["address"]).select(F.col("b").alias("address")).distinct()
         frontier = written(near.join(known, "address", "left_anti"), "frontier")
         if frontier.isEmpty():
             return deny_list(known, deny) if deny is not None else known
         known = written(known.unionByName(frontier), "known")
-    raise RuntimeError(f"the closure did not settle in {max_rounds} rounds")
 
 
 def deny_list(addresses: DataFrame, deny: DataFrame) -> DataFrame:
     return addresses.join(deny.select("address").distinct(), "address", "left_anti")
 
 
-def level_expand(transactions: DataFrame, edges: DataFrame, seeds: DataFrame, deny: DataFrame | None = None, max_levels: int = 100) -> tuple[DataFrame, DataFrame]:
+def level_expand(transactions: DataFrame, edges: DataFrame, seeds: DataFrame, deny: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Levels over captured data: the frontier's transactions, the creations in them, the contracts these add, and so on.
 
     transactions: (hash, contract) of what touches a contract; edges: (hash, from, to) of creations in a transaction. Gives
@@ -50,7 +51,7 @@ def level_expand(transactions: DataFrame, edges: DataFrame, seeds: DataFrame, de
     """
     frontier = known = written(seeds.select("address").distinct(), "contracts")
     seen = written(transactions.select("hash").limit(0).withColumn("level", F.lit(0)), "hashes")
-    for level in range(1, max_levels + 1):
+    for level in count(1):
         new = transactions.join(frontier, transactions["contract"] == frontier["address"], "left_semi").select("hash").distinct()
         new = written(new.join(seen, "hash", "left_anti").withColumn("level", F.lit(level)), "new-hashes")
         if new.isEmpty():
@@ -65,7 +66,6 @@ def level_expand(transactions: DataFrame, edges: DataFrame, seeds: DataFrame, de
         frontier, known = written(frontier, "frontier"), written(known, "contracts")
         if frontier.isEmpty():
             return seen, known
-    raise RuntimeError(f"levels did not settle in {max_levels} rounds")
 
 
 def label_by_relative(creations: DataFrame, contracts: DataFrame, factory_labels: DataFrame) -> DataFrame:

@@ -1,8 +1,11 @@
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.errors import AnalysisException
 
 from chainlog.operators import graph
 from chainlog.operators.components import connected_components
+from chainlog.sources import tables
 from chainlog.sources.tables import written
 
 
@@ -79,3 +82,20 @@ def test_levels(spark):
     made = frame(spark, [("t1", "a", "b"), ("t2", "b", "c")], "hash string, `from` string, `to` string")
     seen, contracts = graph.level_expand(tx, made, addresses(spark, "a"))
     assert dict(seen.collect()) == {"t1": 1, "t2": 2, "t3": 3} and {r[0] for r in contracts.collect()} == set("abc")
+
+
+def test_a_long_chain_of_creations(spark):
+    """More nodes in a row than there were rounds once."""
+    edges = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}") for i in range(130)], "a string, b string")
+    assert {r["component"] for r in connected_components(edges, written).collect()} == {"n000"}
+
+
+def test_scratch_tables_are_deleted(spark):
+    kept = written(spark.range(2), "kept")
+    with tables.scratch(spark):
+        df = written(spark.range(3), "test")
+        path = tables._made[-1]
+        assert df.count() == 3
+    with pytest.raises(AnalysisException):
+        spark.read.parquet(path)
+    assert kept.count() == 2
