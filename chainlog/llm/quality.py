@@ -112,21 +112,37 @@ def failed(rules: tuple[Rule, ...], of) -> Column:
     return F.array_compact(F.array(*out))
 
 
+def _lines(text: Column) -> Column:
+    """The text's lines that have a word."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "")
+
+
+def _base_failed(of) -> Column:
+    return (of("n_words") < 10) | (100 * of("n_repeat_words") > 20 * of("n_words"))
+
+
 def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, prefix: str = "") -> DataFrame:
     """Adds the measures, base_failed, failed_rules and kept to every row. One scan, no shuffle."""
     tmp = {k: f"__quality_{k}" for k in ("tokens", "lines")}
-    has_word = lambda x: F.btrim(x, F.lit(SPACES)) != ""
-    df = docs.withColumns({tmp["tokens"]: words(docs[text]), tmp["lines"]: F.filter(F.split(F.coalesce(docs[text], F.lit("")), "\n", -1), has_word)})
+    df = docs.withColumns({tmp["tokens"]: words(docs[text]), tmp["lines"]: _lines(docs[text])})
     made = measures(df[text], df[tmp["tokens"]], df[tmp["lines"]])
     df = df.withColumns({f"__quality_m_{k}": v for k, v in made.items()}).drop(*tmp.values())
     of = lambda k: df[f"__quality_m_{k}"]
-    base = (of("n_words") < 10) | (100 * of("n_repeat_words") > 20 * of("n_words"))
     bad = failed(rules, of)
+    base = _base_failed(of)
     own = {prefix + k: of(k) for k in made} | {prefix + "base_failed": base, prefix + "failed_rules": bad, prefix + "kept": ~base & (F.size(bad) == 0)}
     return df.select(*[df[c] for c in docs.columns if c not in own], *[v.alias(k) for k, v in own.items()])
 
 
+def passes(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """Whether a text passes, as one expression in which each measure is worked out once: a filter on columns of measures would
+    have them again wherever they are named."""
+    parts = F.struct(words(text).alias("tokens"), _lines(text).alias("lines"))
+    made = lambda p: F.struct(*[v.alias(k) for k, v in measures(text, p["tokens"], p["lines"]).items()])
+    good = lambda m: ~_base_failed(lambda k: m[k]) & (F.size(failed(rules, lambda k: m[k])) == 0)
+    return bind(parts, lambda p: bind(made(p), good))
+
+
 def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that pass, with their own columns only."""
-    df = judge(docs, text, rules, prefix="__quality_")
-    return df.where("__quality_kept").select(*docs.columns)
+    return docs.where(passes(docs[text], rules))
