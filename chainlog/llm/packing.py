@@ -3,15 +3,17 @@ at once. A sequence takes the example whose demand has the largest dot product w
 dimension as a share of its limit, until none fits.
 
 With cutting allowed, a gap that no whole example fits is filled with the head of the largest one, whose rest stays to be
-placed; what is left at a partition's end, or where the segments ran out, is written as sequences of lengths that are powers
-of two. So no token is padding. Without cutting, examples stay whole and sequences may end early.
+placed. Without cutting, examples stay whole and sequences may end early.
 
 Each partition is packed for itself, without a shuffle, from a pool of at most POOL examples (with cutting, of less than one
-sequence each). A sequence's id is its partition's number and its own within it; a partition that is computed again gives
-the same rows, as long as its input comes in the same order, and whole rows only.
-
-Null and empty texts are documents of their end id alone; null ids stay null; repeated rows are packed each; an empty table
-gives an empty one. Only the named columns are read, so others cannot clash.
+sequence each). What documents leave over at a partition's end, less than a sequence, is packed once more with that of
+TAILS other partitions; what that leaves over in turn is written as sequences of lengths that are powers of two. So no token
+is padding. A sequence's id is its partition's number and its own within it; a partition that is computed again gives the
+same rows, as long as its input comes in the same order, and whole rows only.
+
+Null and empty texts are documents of their end id alone; null and empty examples have no token and so no piece; an example
+that exceeds a limit by itself and may not be cut is a sequence of its own, whose n_tokens or n_loss show it; null ids stay
+null; repeated rows are packed each; an empty table gives an empty one. Only the named columns are read, so others cannot clash.
 """
 
 from __future__ import annotations
@@ -26,11 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.workers import let_workers_import, small_batches
+from .common import written
 from .tokens import encoder
 
 POOL = 512
 ROWS_OUT = 256
 FREE = 1 << 40
+#: Partitions whose rests are packed together, and from where the ids of the sequences count that these make.
+TAILS, SECOND = 512, 1 << 62
 
 SCHEMA = (
     "sequence_id long, input_ids binary, n_tokens int, n_loss int, "
@@ -48,8 +53,8 @@ class Limits:
 class Packer:
     """Packs examples (id, ids, first loss-bearing position) as they come; yields (bytes, loss, pieces) of each sequence."""
 
-    def __init__(self, limits: Limits, cut: bool):
-        self.limits, self.cut = limits, cut
+    def __init__(self, limits: Limits, cut: bool, last: bool = True, alone: bool = False):
+        self.limits, self.cut, self.last, self.alone = limits, cut, last, alone
         self.items: list[list | None] = [None] * POOL  # [doc, ids, start, total, loss_from]
         self.tokens, self.loss = np.full(POOL, FREE), np.full(POOL, FREE)  # each has one segment; FREE fits nowhere
         self.free = list(range(POOL))
@@ -78,9 +83,16 @@ class Packer:
         if start < total:
             yield from self._add_one([doc, ids[start:], start, total, loss_from])
 
+    def add_part(self, doc, ids: np.ndarray, loss_from: int, start: int, total: int) -> Iterator[list[list]]:
+        """A piece of an example, smaller than a sequence."""
+        yield from self._add_one([doc, ids, start, total, loss_from])
+
     def _add_one(self, item: list) -> Iterator[list[list]]:
         if any(x > y for x, y in zip(self._demand(item), (self.limits.tokens, self.limits.segments, self.limits.loss))):
-            raise ValueError(f"example {item[0]} exceeds the limits by itself")
+            if not self.alone:
+                raise ValueError(f"example {item[0]} exceeds the limits by itself")
+            yield [item]
+            return
         if not self.free:
             yield self._fill()
         self._put(item)
@@ -115,8 +127,8 @@ class Packer:
             yield self._fill()
 
     def lengths(self, total: int) -> list[int]:
-        """The whole, or powers of two that sum to it."""
-        if not self.cut or total == self.limits.tokens:
+        """The whole, or where nothing comes after this, powers of two that sum to it."""
+        if not self.cut or not self.last or total >= self.limits.tokens:
             return [total]
         return [1 << b for b in range(total.bit_length() - 1, -1, -1) if total >> b & 1]
 
@@ -145,10 +157,11 @@ def _pieces(rows: list[list[tuple]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in flat], list(PIECE)))
 
 
-def _batches(examples: Iterator[tuple], limits: Limits, cut: bool) -> Iterator[pa.RecordBatch]:
-    packer, rows = Packer(limits, cut), []
+def _batches(examples: Iterator[tuple], limits: Limits, cut: bool, last: bool = True, alone: bool = False, first_id: int = 0) -> Iterator[pa.RecordBatch]:
+    """examples: (doc, ids, first loss-bearing position, start, total), or without the last two if whole."""
+    packer, rows = Packer(limits, cut, last, alone), []
     context = TaskContext.get()
-    number = (context.partitionId() if context else 0) << 36
+    number = first_id + ((context.partitionId() if context else 0) << 36)
 
     def out() -> pa.RecordBatch:
         nonlocal number
@@ -161,8 +174,8 @@ def _batches(examples: Iterator[tuple], limits: Limits, cut: bool) -> Iterator[p
         return batch
 
     def sequences() -> Iterator[list[list]]:
-        for doc, ids, loss_from in examples:
-            yield from packer.add(doc, ids, loss_from)
+        for doc, ids, loss_from, *part in examples:
+            yield from packer.add_part(doc, ids, loss_from, *part) if part else packer.add(doc, ids, loss_from)
         yield from packer.rest()
 
     for filled in sequences():
@@ -176,7 +189,8 @@ def _batches(examples: Iterator[tuple], limits: Limits, cut: bool) -> Iterator[p
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", limits: Limits = Limits()) -> DataFrame:
     """Sequences of whole texts' ids, each text followed by end_id, cut freely. tokenizer: the vocabulary's file on the workers.
 
-    input_ids holds little-endian unsigned 32-bit ids; pieces says which document's ids lie where, without gaps.
+    input_ids holds little-endian unsigned 32-bit ids; pieces says which document's ids lie where, without gaps. The
+    sequences of the first pass are a table in the shared folder, from which only those that are not full are packed again.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,11 +201,26 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc
                 for doc, body in zip(batch.column(0).to_pylist(), batch.column(1)):
                     yield doc, np.frombuffer(encode(body.as_py() or "") + end, "<u4"), 1
 
-        yield from _batches(examples(), limits, cut=True)
+        yield from _batches(examples(), limits, cut=True, last=False)
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts() -> Iterator[tuple]:
+            for batch in batches:
+                for body, pieces in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    ids = np.frombuffer(body, "<u4")
+                    for p in pieces:
+                        yield p["doc_id"], ids[p["offset"] : p["offset"] + p["length"]], 1, p["start"], p["doc_tokens"]
+
+        yield from _batches(parts(), limits, cut=True, first_id=SECOND)
 
     let_workers_import(docs.sparkSession)
     small_batches(docs.sparkSession)
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SCHEMA)
+    first = written(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SCHEMA), "sequences")
+    full = F.col("n_tokens") >= limits.tokens
+    rests = first.where(~full)
+    groups = max(1, -(-rests.count() // TAILS))
+    packed = rests.select("input_ids", "pieces", "sequence_id").repartitionByRange(groups, "sequence_id").select("input_ids", "pieces").mapInArrow(again, SCHEMA)
+    return first.where(full).unionByName(packed)
 
 
 def pack_examples(examples: DataFrame, key: str = "doc_id", ids: str = "ids", loss_from: str | None = None, limits: Limits = Limits(), cut: bool = False) -> DataFrame:
@@ -205,7 +234,7 @@ def pack_examples(examples: DataFrame, key: str = "doc_id", ids: str = "ids", lo
                     if body.is_valid and len(body.values):
                         yield doc, body.values.to_numpy(zero_copy_only=False).astype("<u4"), start
 
-        yield from _batches(rows(), limits, cut)
+        yield from _batches(rows(), limits, cut, alone=True)
 
     let_workers_import(examples.sparkSession)
     small_batches(examples.sparkSession)

@@ -89,3 +89,55 @@ def test_tokenised_examples(spark):
     df = spark.createDataFrame([(1, [1, 2, 3], 2), (2, [4], 0), (3, None, 1), (4, [], 1), (5, list(range(60)), None)], "doc_id long, ids array<int>, first int")
     got = p.pack_examples(df.coalesce(1), loss_from="first", limits=p.Limits(64, 8, 64)).collect()
     assert sorted(x["doc_id"] for s in got for x in s["pieces"]) == [1, 2, 5] and sum(s["n_tokens"] for s in got) == 64
+
+
+def test_examples_above_a_limit_stand_alone(spark):
+    df = spark.createDataFrame([(1, [7] * 100, 90), (2, [8] * 10, 1), (3, [9] * 20, 0)], "doc_id long, ids array<int>, first int")
+    got = {tuple(x["doc_id"] for x in s["pieces"]): s["n_tokens"] for s in p.pack_examples(df.coalesce(1), loss_from="first", limits=p.Limits(64, 8, 12)).collect()}
+    assert got == {(1,): 100, (3,): 20, (2,): 10}
+
+
+def first_fit(examples, limits):
+    """Sequences that first fit by length needs, longest first, under the same limits."""
+    open_: list[list[int]] = []
+    for _, ids, first in sorted(examples, key=lambda e: -len(e[1])):
+        n = len(ids)
+        loss = max(0, n - max(1, first))
+        for b in open_:
+            if b[0] + n <= limits.tokens and b[1] < limits.segments and b[2] + loss <= limits.loss:
+                b[0], b[1], b[2] = b[0] + n, b[1] + 1, b[2] + loss
+                break
+        else:
+            open_.append([n, 1, loss])
+    return len(open_)
+
+
+def test_the_dot_product_needs_fewer_sequences_than_length_alone():
+    """Instruction examples of two kinds, long prompts with short answers and the reverse: tokens, segments and loss all bind."""
+    rng = random.Random(5)
+    limits = p.Limits(1000, 4, 500)
+    examples = []
+    for i in range(500):
+        n = rng.randint(180, 320)
+        examples.append((i, np.zeros(n, "<u4"), 1 if i % 2 else n - rng.randint(5, 20)))
+    rng.shuffle(examples)
+    got = sequences(examples, limits, False)
+    assert len(got) < first_fit(examples, limits)
+    assert max(s["n_tokens"] for s in got) > 950 and max(len(s["pieces"]) for s in got) == 4 and max(s["n_loss"] for s in got) > 475
+
+
+def test_rests_of_many_partitions_are_packed_together(spark):
+    rng = random.Random(2)
+    data = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(rng.randint(5, 900)))) for i in range(600)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(40)
+    packed = p.pack_documents(df, BYTES, end_id=0)
+    rows = packed.collect()
+    short = [r for r in rows if r["n_tokens"] < 1024]
+    assert len(short) <= 10 and all(r["n_tokens"] & (r["n_tokens"] - 1) == 0 for r in short) and len({r["sequence_id"] for r in rows}) == len(rows)
+    tool = Pieces(BYTES, "u4")
+    found = defaultdict(list)
+    for r in rows:
+        ids = np.frombuffer(r["input_ids"], "<u4")
+        for x in r["pieces"]:
+            found[x["doc_id"]].append((x["start"], ids[x["offset"] : x["offset"] + x["length"]].tobytes()))
+    assert all(b"".join(b for _, b in sorted(found[i])) == tool.plain(t) + b"\0\0\0\0" for i, t in data)
