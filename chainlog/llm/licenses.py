@@ -1,10 +1,18 @@
-"""Licence scan: normalised lines of a text are compared to licence templates by the Dice coefficient of their sets of word
-bigrams. A template is only compared to lines whose number of bigrams can reach the threshold: with a in the template, the
-line must have between t / (2 - t) * a and (2 - t) / t * a.
+"""Licence scan: windows of a text's normalised words are compared to licence templates by the Dice coefficient of their sets of
+word bigrams. Words are read across line breaks, so wrapped notices, comment signs and notices within a line do not matter.
 
-A null or empty text has no licence; lines of fewer than two words have no bigrams and match nothing; lines that repeat
-count each; repeated rows are alike; an empty table gives an empty one; other columns pass through `scan`. Ties between
-templates go to the first name in order of code point.
+A window starts at any of the text's bigrams that the template has, spans at most as many words as the template, and ends
+with the last such bigram in there. With a bigrams in the template, a window needs between t / (2 - t) * a and (2 - t) / t * a of its
+own to reach the threshold t, and at least t / (2 - t) * a that are the template's. So a template is only tried where that
+many of its bigrams lie within its length; no window that reaches the threshold is lost by this.
+
+Windows of one template that overlap make a stretch, of which the best one counts (then the longest, then the first); a notice
+repeated without a break may make one stretch. Of stretches of different templates whose best windows overlap, the one of most
+weight stays, which is Dice times length, so that a whole header beats the notice in it (ties: by Dice, then start, then name in
+order of code point).
+
+A null or empty text has no licence; texts of fewer than two words have no bigrams and match nothing; repeated rows are
+alike; an empty table gives an empty one; other columns pass through `scan`, one named license_spans is replaced.
 """
 
 from __future__ import annotations
@@ -19,24 +27,94 @@ from .common import bind
 
 #: Names and notices of common public licences. Fixed values.
 TEMPLATES = {
+    "agpl-3.0-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. "
+        "You should have received a copy of the GNU Affero General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."
+    ),
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
-    "bsd-3-clause": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "apache-2.0-header": (
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
+        '"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. '
+        "See the License for the specific language governing permissions and limitations under the License."
+    ),
+    "apache-2.0-notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+    "bsd-2-clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+        "in the documentation and/or other materials provided with the distribution. "
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT '
+        "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE "
+        "COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+        "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+        "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+        "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "bsd-3-clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+        "in the documentation and/or other materials provided with the distribution. "
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived "
+        "from this software without specific prior written permission. "
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT '
+        "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE "
+        "COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+        "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+        "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+        "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "bsd-style-notice": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
     "cc0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "mit": "Released under the MIT License.",
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "gpl-3.0-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. "
+        "You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."
+    ),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
+        "the above copyright notice and this permission notice appear in all copies. "
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES '
+        "OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY "
+        "DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, "
+        "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "mit": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+        '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, '
+        "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions: "
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY "
+        "CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+        "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "mit-notice": "Released under the MIT License.",
+    "mpl-2.0-header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with "
+        "this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    ),
     "unlicense": "This is free and unencumbered software released into the public domain.",
 }
 THRESHOLD = 0.8
 NOT_WORD = r"[^a-z0-9]+"
+SPAN = "struct<dice:double,n_words:int,start:int,license:string>"
 
 
-def normalised(line: Column) -> Column:
+def normalised(text: Column) -> Column:
     """Lower-case runs of ASCII letters and digits."""
-    return F.filter(F.split(F.lower(line), NOT_WORD), lambda w: w != "")
+    return F.filter(F.split(F.lower(text), NOT_WORD), lambda w: w != "")
 
 
 def bigrams(tokens: Column) -> Column:
@@ -46,8 +124,12 @@ def bigrams(tokens: Column) -> Column:
     return F.array_distinct(pairs)
 
 
+def template_words(text: str) -> list[str]:
+    return [x for x in re.split(NOT_WORD, text.lower()) if x]
+
+
 def template_bigrams(text: str) -> list[str]:
-    w = [x for x in re.split(NOT_WORD, text.lower()) if x]
+    w = template_words(text)
     return sorted({f"{a} {b}" for a, b in zip(w, w[1:])})
 
 
@@ -56,34 +138,92 @@ def size_bounds(n: int, threshold: float) -> tuple[int, int]:
     return math.ceil(threshold / (2 - threshold) * n - 1e-9), math.floor((2 - threshold) / threshold * n + 1e-9)
 
 
-def best_template(grams: Column, templates: dict[str, str], threshold: float) -> Column:
-    """struct(dice, license) of the best template at or above the threshold, or null."""
-    found = []
-    for i, name in enumerate(sorted(templates)):
-        own = template_bigrams(templates[name])
-        low, high = size_bounds(len(own), threshold)
-        dice = F.lit(2.0) * F.size(F.array_intersect(grams, F.lit(own))) / (F.size(grams) + len(own))
-        one = F.struct(dice.alias("dice"), F.lit(-i).alias("order"), F.lit(name).alias("license"))
-        found.append(F.when(F.size(grams).between(low, high), F.when(dice >= threshold, one)))
-    return F.array_max(F.array(*found))
+def known_bigrams(tokens: Column, grams: list[str]) -> Column:
+    """array of struct(at, gram) of the tokens' bigrams that are among grams; `at` counts from 1."""
+    firsts = sorted({g.split(" ")[0] for g in grams})
+    n = F.greatest(F.size(tokens) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(tokens, F.lit(1), n), F.slice(tokens, F.lit(2), n), lambda a, b: F.when(a.isin(firsts), F.concat_ws(" ", a, b)))
+    return F.filter(F.transform(pairs, lambda g, i: F.struct((i + 1).alias("at"), g.alias("gram"))), lambda h: h["gram"].isin(grams))
+
+
+def _windows(tokens: Column, hits: Column, name: str, text: str, threshold: float) -> Column:
+    """array of SPAN of one template's windows at or above the threshold, by start. hits: known_bigrams of all templates."""
+    own = template_bigrams(text)
+    low, high = size_bounds(len(own), threshold)
+    reach = len(template_words(text)) - 2  # from a window's first bigram to its last one
+
+    def one(mine: Column, i: Column) -> Column:
+        start = F.get(mine, i)["at"]
+        inside = F.filter(F.slice(mine, i + 1, F.lit(reach + 1)), lambda h: h["at"] <= start + reach)
+
+        def judged(s: Column) -> Column:
+            last = F.element_at(s, -1)["at"]
+            shared = F.size(F.array_distinct(F.transform(s, lambda h: h["gram"])))
+            size = F.size(bigrams(F.slice(tokens, start, last - start + 2)))
+            dice = F.lit(2.0) * shared / (size + len(own))
+            span = F.struct(dice.alias("dice"), (last - start + 2).cast("int").alias("n_words"), start.cast("int").alias("start"), F.lit(name).alias("license"))
+            return F.when(size.between(low, high) & (dice >= threshold), span)
+
+        return bind(inside, judged)
+
+    def all_of(mine: Column) -> Column:
+        n = F.size(mine) - low + 1  # starts that have enough hits after them
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(mine, i + low - 1)["at"] - F.get(mine, i)["at"] <= reach)
+        return F.when(n > 0, F.array_compact(F.transform(starts, lambda i: one(mine, i))))
+
+    found = bind(F.filter(hits, lambda h: h["gram"].isin(own)), all_of)
+    return F.coalesce(F.when(F.size(hits) >= low, found), F.array().cast(f"array<{SPAN}>"))
+
+
+def _order(x: Column) -> Column:
+    """Greater for a better window of one template."""
+    return F.struct(x["dice"], x["n_words"], -x["start"])
+
+
+def weight(x: Column) -> Column:
+    """Greater for a span that says more of a text's licence."""
+    return F.struct(x["dice"] * x["n_words"], x["dice"], -x["start"])
+
+
+def _stretches(windows: Column) -> Column:
+    """The best window of each run of overlapping windows, which come by start."""
+    none = F.lit(None).cast(SPAN)
+    start = F.struct(F.array().cast(f"array<{SPAN}>").alias("done"), none.alias("best"), F.lit(0).alias("end"))
+
+    def step(s: Column, x: Column) -> Column:
+        after = x["start"] >= s["end"]
+        better = s["best"].isNull() | after | (_order(x) > _order(s["best"]))
+        return F.struct(
+            F.when(after & s["best"].isNotNull(), F.concat(s["done"], F.array(s["best"]))).otherwise(s["done"]).alias("done"),
+            F.when(better, x).otherwise(s["best"]).alias("best"),
+            F.greatest(s["end"], x["start"] + x["n_words"]).alias("end"),
+        )
+
+    return F.aggregate(windows, start, step, lambda s: F.array_compact(F.concat(s["done"], F.array(s["best"]))))
+
+
+def _best_of_overlapping(spans: Column) -> Column:
+    def beaten(x: Column) -> Column:
+        def by(y: Column) -> Column:
+            apart = (y["start"] >= x["start"] + x["n_words"]) | (x["start"] >= y["start"] + y["n_words"])
+            return ~apart & ((weight(y) > weight(x)) | ((weight(y) == weight(x)) & (y["license"] < x["license"])))
+
+        return F.exists(spans, by)
+
+    return F.filter(spans, lambda x: ~beaten(x))
 
 
 def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """Adds license_lines: array of struct(line, dice, license), lines counted from 1. One projection, no shuffle.
-
-    Lines whose number of words no template allows are dropped before bigrams are made.
-    """
-    low = min(size_bounds(len(template_bigrams(t)), threshold)[0] for t in templates.values()) + 1  # words
-    out, lines = "license_lines", "__license_lines"
-    numbered = F.transform(F.split(F.coalesce(docs[text], F.lit("")), "\n", -1), lambda x, i: F.struct((i + 1).alias("line"), x.alias("t")))
-    words_in = F.transform(F.filter(numbered, lambda x: F.length(x["t"]) >= 2 * low - 1), lambda x: F.struct(x["line"].alias("line"), normalised(x["t"]).alias("w")))
-    fit = F.filter(words_in, lambda x: F.size(x["w"]) >= low)
-    df = docs.withColumn(lines, F.transform(fit, lambda x: F.struct(x["line"].alias("line"), bigrams(x["w"]).alias("g"))))
-    judged = F.transform(
-        df[lines],
-        lambda x: bind(
-            best_template(x["g"], templates, threshold),
-            lambda b: F.when(b.isNotNull(), F.struct(x["line"].alias("line"), b["dice"].alias("dice"), b["license"].alias("license"))),
-        ),
-    )
-    return df.select(*[df[c] for c in docs.columns if c != out], F.array_compact(judged).alias(out))
+    """Adds license_spans: array of struct(start, n_words, dice, license), start counted in words from 1. One projection, no shuffle."""
+    out = "license_spans"
+    grams = sorted({g for t in templates.values() for g in template_bigrams(t)})
+
+    def found(tokens: Column) -> Column:
+        def per_template(hits: Column) -> Column:
+            return F.flatten(F.array(*[_stretches(_windows(tokens, hits, name, templates[name], threshold)) for name in sorted(templates)]))
+
+        return bind(bind(known_bigrams(tokens, grams), per_template), _best_of_overlapping)
+
+    spans = bind(normalised(F.coalesce(docs[text], F.lit(""))), found)
+    ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["n_words"].alias("n_words"), x["dice"].alias("dice"), x["license"].alias("license"))))
+    return docs.select(*[docs[c] for c in docs.columns if c != out], ordered.alias(out))

@@ -133,25 +133,41 @@ FROM e JOIN f a ON a.doc_id = e.doc_id AND a.k = 'a' JOIN f b ON b.doc_id = e.do
 def _licenses() -> str:
     t = licenses.THRESHOLD
     rows = []
-    for i, name in enumerate(sorted(licenses.TEMPLATES)):
+    for name in sorted(licenses.TEMPLATES):
         own = licenses.template_bigrams(licenses.TEMPLATES[name])
         low, high = licenses.size_bounds(len(own), t)
-        rows.append(f"({i}, '{name}', {_strings(own)}, {low}, {high})")
+        rows.append(f"('{name}', {_strings(own)}, {low}, {high}, {len(licenses.template_words(licenses.TEMPLATES[name])) - 2})")
     return rf"""
-WITH t(o, name, g, low, high) AS (VALUES {", ".join(rows)}),
-d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
-l AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM d),
-w AS (SELECT doc_id, i, list_filter(regexp_split_to_array(lower(line), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM l),
-b AS (SELECT doc_id, i, list_distinct([w[j] || ' ' || w[j + 1] for j in range(1, len(w))]) AS g FROM w WHERE len(w) > 1),
-p AS (
-  SELECT doc_id, i, o, name, 2.0::DOUBLE * len(list_intersect(b.g, t.g)) / (len(b.g) + len(t.g)) AS dice FROM b, t
-  WHERE len(b.g) BETWEEN t.low AND t.high
+WITH t(name, g, low, high, reach) AS (VALUES {", ".join(rows)}),
+tg AS (SELECT name, low, reach, unnest(g) AS g FROM t),
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT doc_id, [w[j] || ' ' || w[j + 1] for j in range(1, len(w))] AS g FROM w WHERE len(w) > 1),
+u AS (SELECT doc_id, unnest(g) AS g, generate_subscripts(g, 1) AS at FROM b),
+h AS (SELECT u.doc_id, u.at, tg.name, tg.low, tg.reach FROM u JOIN tg ON tg.g = u.g),
+c AS (
+  SELECT a.doc_id, a.name, a.at AS s, max(z.at) AS e
+  FROM h a JOIN h z ON z.doc_id = a.doc_id AND z.name = a.name AND z.at BETWEEN a.at AND a.at + a.reach
+  GROUP BY a.doc_id, a.name, a.at, a.low HAVING count(*) >= a.low
 ),
-best AS (SELECT doc_id, i, name, dice FROM p WHERE dice >= {t}::DOUBLE QUALIFY row_number() OVER (PARTITION BY doc_id, i ORDER BY dice DESC, o) = 1),
-top AS (SELECT doc_id, name, i, dice FROM best QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, i) = 1),
-n AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM best GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_license_lines, top.name AS license, top.i::BIGINT AS line, top.dice, coalesce(n.names, '') AS licenses
-FROM d LEFT JOIN top ON top.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
+x AS (
+  SELECT c.doc_id, c.name, s, e - s + 2 AS n, len(list_distinct(b.g[s:e])) AS size, t.low, t.high,
+         2.0::DOUBLE * len(list_intersect(list_distinct(b.g[s:e]), t.g)) / (len(list_distinct(b.g[s:e])) + len(t.g)) AS dice
+  FROM c JOIN b ON b.doc_id = c.doc_id JOIN t ON t.name = c.name
+),
+y AS (SELECT *, max(s + n) OVER (PARTITION BY doc_id, name ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+      FROM x WHERE size BETWEEN low AND high AND dice >= {t}::DOUBLE),
+r AS (SELECT *, sum((before IS NULL OR s >= before)::INTEGER) OVER (PARTITION BY doc_id, name ORDER BY s) AS run FROM y),
+best AS (SELECT doc_id, name, s, n, dice FROM r QUALIFY row_number() OVER (PARTITION BY doc_id, name, run ORDER BY dice DESC, n DESC, s) = 1),
+kept AS (
+  SELECT * FROM best a WHERE NOT EXISTS (
+    SELECT 1 FROM best o WHERE o.doc_id = a.doc_id AND o.s < a.s + a.n AND a.s < o.s + o.n
+      AND (o.dice * o.n, o.dice, -o.s) >= (a.dice * a.n, a.dice, -a.s) AND ((o.dice * o.n, o.dice, -o.s) <> (a.dice * a.n, a.dice, -a.s) OR o.name < a.name))
+),
+top AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY dice * n DESC, dice DESC, s, name DESC) = 1),
+n AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM kept GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_license_spans, top.name AS license, top.s::BIGINT AS start_word, top.n::BIGINT AS n_words, top.dice,
+       coalesce(n.names, '') AS licenses
+FROM documents d LEFT JOIN top ON top.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
 
 
 def _mix() -> str:

@@ -63,14 +63,15 @@ def op7_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    best = F.array_max(F.transform("license_lines", lambda x: F.struct(x["dice"].alias("d"), (-x["line"]).alias("l"), x["license"].alias("n"))))
+    best = F.array_max(F.transform("license_spans", lambda x: F.struct(licenses.weight(x).alias("w"), x["license"].alias("license"), x.alias("x"))))["x"]
     return df.select(
         "doc_id",
-        F.size("license_lines").cast("long").alias("n_license_lines"),
-        best["n"].alias("license"),
-        (-best["l"]).cast("long").alias("line"),
-        best["d"].alias("dice"),
-        F.array_join(F.array_sort(F.array_distinct(F.transform("license_lines", lambda x: x["license"]))), ",").alias("licenses"),
+        F.size("license_spans").cast("long").alias("n_license_spans"),
+        best["license"].alias("license"),
+        best["start"].cast("long").alias("start_word"),
+        best["n_words"].cast("long").alias("n_words"),
+        best["dice"].alias("dice"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("license_spans", lambda x: x["license"]))), ",").alias("licenses"),
     )
 
 
