@@ -138,41 +138,58 @@ def size_bounds(n: int, threshold: float) -> tuple[int, int]:
     return math.ceil(threshold / (2 - threshold) * n - 1e-9), math.floor((2 - threshold) / threshold * n + 1e-9)
 
 
-def known_bigrams(tokens: Column, grams: list[str]) -> Column:
-    """array of struct(at, gram) of the tokens' bigrams that are among grams; `at` counts from 1."""
+def _quoted(values: list[str]) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+def hits(tokens: str, templates: dict[str, str]) -> Column:
+    """array of struct(at, gram, of): the bigrams of a column of tokens that templates have; `at` counts from 1, bit i of `of` stands for
+    the i-th template by name. Written as SQL text, as thousands of literals take seconds to make one by one."""
+    own = [template_bigrams(templates[name]) for name in sorted(templates)]
+    grams = sorted({g for x in own for g in x})
     firsts = sorted({g.split(" ")[0] for g in grams})
-    n = F.greatest(F.size(tokens) - 1, F.lit(0))
-    pairs = F.zip_with(F.slice(tokens, F.lit(1), n), F.slice(tokens, F.lit(2), n), lambda a, b: F.when(a.isin(firsts), F.concat_ws(" ", a, b)))
-    return F.filter(F.transform(pairs, lambda g, i: F.struct((i + 1).alias("at"), g.alias("gram"))), lambda h: h["gram"].isin(grams))
+    of = " + ".join(f"IF(h.gram IN ({_quoted(x)}), {1 << i}L, 0L)" for i, x in enumerate(own))
+    n = f"greatest(size({tokens}) - 1, 0)"
+    pairs = f"zip_with(slice({tokens}, 1, {n}), slice({tokens}, 2, {n}), (a, b) -> IF(a IN ({_quoted(firsts)}), concat_ws(' ', a, b), NULL))"
+    known = f"filter(transform({pairs}, (g, i) -> struct(i + 1 AS at, g AS gram)), h -> h.gram IN ({_quoted(grams)}))"
+    return F.expr(f"transform({known}, h -> struct(h.at AS at, h.gram AS gram, {of} AS of))")
+
 
+def template_rows(templates: dict[str, str], threshold: float) -> Column:
+    """array of struct(license, own, low, high, reach, bit); reach is from a window's first bigram to its last one at most."""
+    rows = []
+    for i, name in enumerate(sorted(templates)):
+        n = len(template_bigrams(templates[name]))
+        low, high = size_bounds(n, threshold)
+        reach = len(template_words(templates[name])) - 2
+        rows.append(f"named_struct('license', '{name}', 'own', {n}, 'low', {low}, 'high', {high}, 'reach', {reach}, 'bit', {1 << i}L)")
+    return F.expr(f"array({', '.join(rows)})")
 
-def _windows(tokens: Column, hits: Column, name: str, text: str, threshold: float) -> Column:
-    """array of SPAN of one template's windows at or above the threshold, by start. hits: known_bigrams of all templates."""
-    own = template_bigrams(text)
-    low, high = size_bounds(len(own), threshold)
-    reach = len(template_words(text)) - 2  # from a window's first bigram to its last one
+
+def _windows(tokens: Column, found: Column, t: Column, threshold: float) -> Column:
+    """array of SPAN of the windows of template t at or above the threshold, by start. found: hits of all templates."""
 
     def one(mine: Column, i: Column) -> Column:
         start = F.get(mine, i)["at"]
-        inside = F.filter(F.slice(mine, i + 1, F.lit(reach + 1)), lambda h: h["at"] <= start + reach)
+        inside = F.filter(F.slice(mine, i + 1, t["reach"] + 1), lambda h: h["at"] <= start + t["reach"])
 
         def judged(s: Column) -> Column:
             last = F.element_at(s, -1)["at"]
             shared = F.size(F.array_distinct(F.transform(s, lambda h: h["gram"])))
             size = F.size(bigrams(F.slice(tokens, start, last - start + 2)))
-            dice = F.lit(2.0) * shared / (size + len(own))
-            span = F.struct(dice.alias("dice"), (last - start + 2).cast("int").alias("n_words"), start.cast("int").alias("start"), F.lit(name).alias("license"))
-            return F.when(size.between(low, high) & (dice >= threshold), span)
+            dice = F.lit(2.0) * shared / (size + t["own"])
+            span = F.struct(dice.alias("dice"), (last - start + 2).cast("int").alias("n_words"), start.cast("int").alias("start"), t["license"].alias("license"))
+            return F.when(size.between(t["low"], t["high"]) & (dice >= threshold), span)
 
         return bind(inside, judged)
 
     def all_of(mine: Column) -> Column:
-        n = F.size(mine) - low + 1  # starts that have enough hits after them
-        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(mine, i + low - 1)["at"] - F.get(mine, i)["at"] <= reach)
+        n = F.size(mine) - t["low"] + 1  # starts that have enough hits after them
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(mine, i + t["low"] - 1)["at"] - F.get(mine, i)["at"] <= t["reach"])
         return F.when(n > 0, F.array_compact(F.transform(starts, lambda i: one(mine, i))))
 
-    found = bind(F.filter(hits, lambda h: h["gram"].isin(own)), all_of)
-    return F.coalesce(F.when(F.size(hits) >= low, found), F.array().cast(f"array<{SPAN}>"))
+    windows = F.when(F.size(found) >= t["low"], bind(F.filter(found, lambda h: h["of"].bitwiseAND(t["bit"]) != 0), all_of))
+    return F.coalesce(windows, F.array().cast(f"array<{SPAN}>"))
 
 
 def _order(x: Column) -> Column:
@@ -214,16 +231,16 @@ def _best_of_overlapping(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """Adds license_spans: array of struct(start, n_words, dice, license), start counted in words from 1. One projection, no shuffle."""
-    out = "license_spans"
-    grams = sorted({g for t in templates.values() for g in template_bigrams(t)})
-
-    def found(tokens: Column) -> Column:
-        def per_template(hits: Column) -> Column:
-            return F.flatten(F.array(*[_stretches(_windows(tokens, hits, name, templates[name], threshold)) for name in sorted(templates)]))
-
-        return bind(bind(known_bigrams(tokens, grams), per_template), _best_of_overlapping)
-
-    spans = bind(normalised(F.coalesce(docs[text], F.lit(""))), found)
-    ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["n_words"].alias("n_words"), x["dice"].alias("dice"), x["license"].alias("license"))))
-    return docs.select(*[docs[c] for c in docs.columns if c != out], ordered.alias(out))
+    """Adds license_spans: array of struct(start, n_words, dice, license), start counted in words from 1. Projections, no shuffle.
+
+    At most 63 templates, whose names have no quotes.
+    """
+    out, words, found = "license_spans", "__license_words", "__license_hits"
+    least = min(size_bounds(len(template_bigrams(t)), threshold)[0] for t in templates.values())
+    df = docs.withColumn(words, normalised(F.coalesce(docs[text], F.lit(""))))
+    df = df.withColumn(found, hits(words, templates))
+    spans = lambda h: F.flatten(F.transform(template_rows(templates, threshold), lambda t: _stretches(_windows(df[words], h, t, threshold))))
+    each = F.when(F.size(df[found]) >= least, bind(bind(df[found], spans), _best_of_overlapping))
+    ordered = F.array_sort(F.transform(each, lambda x: F.struct(x["start"].alias("start"), x["n_words"].alias("n_words"), x["dice"].alias("dice"), x["license"].alias("license"))))
+    none = F.array().cast("array<struct<start:int,n_words:int,dice:double,license:string>>")
+    return df.select(*[df[c] for c in docs.columns if c != out], F.coalesce(ordered, none).alias(out))
