@@ -21,12 +21,16 @@ empty; repeated rows are alike; an empty table gives an empty one; other columns
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import warnings
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bind
 
 ROUNDS = 8
+#: The session's setting that holds the key, and the key of trials and tests, which everyone knows.
+KEY_SETTING, OPEN_KEY = "spark.chainlog.pseudonyms.secret", "pseudonym key"
 
 #: The formats, tried in this order at each place. Lookarounds keep matches from starting or ending within a longer token.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"
@@ -272,12 +276,22 @@ def pattern_of(text: Column) -> Column:
     return bind(F.struct(_literals(text, PHONE_AT, _phone_of).alias("phones"), _literals(text, CARD_AT, _card_of).alias("cards")), put)
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = "pseudonym key", counts: str | None = None) -> DataFrame:
-    """The rows with the text's values replaced; counts names a map column of replacements by kind, if wanted.
+def key_of(spark: SparkSession) -> str:
+    """The session's key. Without one, pseudonyms are made with a key that anyone can undo them with, and a warning says so."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        warnings.warn(f"{KEY_SETTING} is not set: pseudonyms are made with the open key", stacklevel=3)
+    return key or OPEN_KEY
+
+
+def pseudonymise(docs: DataFrame, text: str = "text", key: str | None = None, counts: str | None = None) -> DataFrame:
+    """The rows with the text's values replaced; counts names a map column of replacements by kind, if wanted. The key is the
+    session's (`key_of`) if none is given; it is part of the plan, so who may read plans and event logs may read it.
 
     The text is cut at its matches; pieces and pseudonyms are then joined again, so nothing is replaced twice. Texts without
     a digit or @ are not searched further. One projection, no shuffle.
     """
+    key = key or key_of(docs.sparkSession)
     found, pieces, new, pattern = "__pseudonyms_found", "__pseudonyms_pieces", "__pseudonyms_new", "__pseudonyms_pattern"
     df = docs.withColumn(pattern, F.when(docs[text].rlike(SOME), pattern_of(docs[text])))
     df = df.withColumn(found, F.when(df[pattern].isNotNull(), F.regexp_extract_all(df[text], df[pattern], F.lit(0))))
