@@ -26,8 +26,8 @@ from .common import bind, written
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-#: Bits of all levels that go to the tasks.
-MAX_BITS = 1 << 22
+#: Bits of all levels that go to the tasks: 4 MB, enough for some 1.7 million listed keys among a thousand times as many.
+MAX_BITS = 1 << 25
 
 
 @dataclass(frozen=True)
