@@ -199,6 +199,53 @@ o AS (
 SELECT doc_id, size, source_size, target, (least(floor((k + 1) * rate + off) - floor(k * rate + off), {m.max_repeats}) * size)::BIGINT AS taken FROM o"""
 
 
+def _crc32(text: str) -> str:
+    """Of ASCII text, by bytes, with the table of the reflected polynomial."""
+    table = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    codes = f"list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT))"
+    return f"xor(list_reduce({codes}, lambda c, b: xor(c >> 8, ({table}::BIGINT[])[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _merkle() -> str:
+    """For subsets of up to 16 ** 5 rows, and up to 16 ** 4 subsets."""
+    field = lambda v: f"coalesce(strlen({v}::VARCHAR) || ':' || {v}, '-')"
+    head = " || ".join(map(field, ("doc_id", "source", "lang", "n_chars")))
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [
+        f"""d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE '+' || source END AS tree, sha256({head} || {field("text")}) AS digest,
+          CASE WHEN {_crc32("doc_id::VARCHAR")} % 5 = 0 THEN sha256({head} || {field(lowered)}) END AS tampered FROM documents)""",
+        """a0 AS (SELECT tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, digest) - 1 AS place, count(*) OVER (PARTITION BY tree) AS n, digest, doc_id, tampered FROM d)""",
+    ]
+
+    def grow(name: str, height: int) -> str:
+        for k in range(height):
+            run = "PARTITION BY tree, place // 16 ORDER BY place ROWS BETWEEN"
+            parts.append(f"""{name}_step{k} AS (SELECT tree, place, coalesce(string_agg(digest, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+              coalesce(string_agg(digest, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}{k} WHERE n > 1)""")
+            parts.append(f"""{name}{k + 1} AS (SELECT tree, place // 16 AS place, (max(n) + 15) // 16 AS n, sha256(string_agg(digest, '' ORDER BY place)) AS digest FROM {name}{k} WHERE n > 1 GROUP BY tree, place // 16)""")
+        return " UNION ALL ".join(f"SELECT tree, digest FROM {name}{k} WHERE n = 1" for k in range(height + 1))
+
+    parts.append(f"subroots AS ({grow('a', 5)})")
+    parts.append("b0 AS (SELECT 0 AS tree, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS n, digest, tree AS name FROM subroots)")
+    parts.append(f"roots AS ({grow('b', 4)})")
+    joins = [f"LEFT JOIN a_step{k} ON a_step{k}.tree = a0.tree AND a_step{k}.place = a0.place // {16**k}" for k in range(5)]
+    joins += ["JOIN b0 ON b0.name = a0.tree"] + [f"LEFT JOIN b_step{k} ON b_step{k}.place = b0.place // {16**k}" for k in range(4)]
+    steps = [f"a_step{k}" for k in range(5)] + [f"b_step{k}" for k in range(4)]
+    end = "coalesce(a0.tampered, a0.digest)"
+    parts.append(f"""steps AS (SELECT a0.doc_id, a0.digest AS leaf, b0.digest AS subroot, {end} AS f0, {", ".join(f"{s}.l AS l{i}, {s}.r AS r{i}" for i, s in enumerate(steps))} FROM a0 {" ".join(joins)})""")
+    for i in range(len(steps)):
+        have = "steps" if not i else f"folds{i}"
+        parts.append(f"folds{i + 1} AS (SELECT *, CASE WHEN l{i} IS NULL THEN f{i} ELSE sha256(l{i} || f{i} || r{i}) END AS f{i + 1} FROM {have})")
+    siblings = " || ".join(f"coalesce(l{i} || r{i}, '')" for i in range(len(steps)))
+    last = len(steps)
+    return f"""WITH {", ".join(parts)}
+SELECT doc_id, leaf, subroot, (SELECT digest FROM roots) AS root, sha256({siblings}) AS proof_sha256, f{last} AS folded_root, f{last} = (SELECT digest FROM roots) AS verified FROM folds{last}"""
+
+
 ORACLES = {
     "op3_bloom_cascade": _urls(),
     "op4_preference_format": _preferences(),
@@ -206,4 +253,5 @@ ORACLES = {
     "op6_quality_rules": _quality(),
     "op8_license_dice": _licenses(),
     "op10_systematic_mix": _mix(),
+    "op11_merkle_manifest": _merkle(),
 }

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, near_dups, packing, preferences, pseudonyms, quality, records, spotsigs, url_filter
+from . import licenses, merkle, mixing, near_dups, packing, preferences, pseudonyms, quality, records, spotsigs, url_filter
 from .common import shared_dir, table
 
 #: Vocabulary files, on every worker.
@@ -86,7 +86,30 @@ def op10_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, merkle.digest(*map(F.col, fields[:-1]), lowered))
+    df = merkle.proofs(merkle.build(docs, fields, "source", "doc_id", {"tampered": tampered}))
+    end = merkle.folded(F.coalesce("tampered", "digest"), F.col("proof"))
+    df = df.select(F.col("key").alias("doc_id"), F.col("digest").alias("leaf"), "subroot", "root", merkle.siblings_digest(F.col("proof")).alias("proof_sha256"), end.alias("folded_root"))
+    return df.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_vector_packing, op2_feistel_pseudonyms, op3_bloom_cascade, op4_preference_format, op5_spotsigs, op6_quality_rules, op7_record_files, op8_license_dice, op9_icws_near_dups, op10_systematic_mix)
+    for f in (
+        op1_vector_packing,
+        op2_feistel_pseudonyms,
+        op3_bloom_cascade,
+        op4_preference_format,
+        op5_spotsigs,
+        op6_quality_rules,
+        op7_record_files,
+        op8_license_dice,
+        op9_icws_near_dups,
+        op10_systematic_mix,
+        op11_merkle_manifest,
+    )
 }
