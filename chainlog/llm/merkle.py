@@ -23,14 +23,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import numbered, written
 
 FANOUT = 16
-#: Bits of monotonically_increasing_id() below its partition's number.
-ROW_BITS = 33
 STEPS = "array<struct<left:string,right:string>>"
 
 
@@ -68,20 +66,6 @@ class Manifest:
         return self.forest[-1].where("n = 1").select(F.col("digest").alias("root"))
 
 
-def numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """Adds at, a row's place from 0 in its tree by the order (nulls first), and n, the tree's number of rows."""
-    keys = [F.asc_nulls_first(c) for c in ("tree", *order)]
-    dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    dealt = written(dealt.withColumn("__id", F.monotonically_increasing_id()), "merkle-rows")
-    dealt = dealt.withColumn("__part", F.shiftright("__id", ROW_BITS))
-    counts = dealt.groupBy("tree", "__part").agg(F.count("*").alias("k"), F.min("__id").alias("first"))
-    tree = Window.partitionBy("tree")
-    before = F.coalesce(F.sum("k").over(tree.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("tree", "__part", (F.col("first") - before).alias("zero"), F.sum("k").over(tree).alias("n"))
-    placed = dealt.join(starts, ["tree", "__part"])
-    return placed.select(*rows.columns, (F.col("__id") - F.col("zero")).alias("at"), "n")
-
-
 def _above(at: Column, fanout: int) -> Column:
     return F.floor(at / fanout).cast("long")
 
@@ -106,13 +90,13 @@ def build(
     own = {"key": F.col(order), **(keep or {})}
     leaf = digest(*[F.col(f) for f in fields])
     leaves = docs.select(subset_key(F.col(subset)).alias("tree"), leaf.alias("digest"), F.monotonically_increasing_id().alias("__tie"), *[c.alias(k) for k, c in own.items()])
-    leaves = numbered(written(leaves, "merkle-leaves"), "key", "digest", "__tie").drop("__tie")
+    leaves = numbered(written(leaves, "merkle-leaves"), "tree", "key", "digest", "__tie").drop("__tie")
     levels = grown(leaves, fanout)
     tops = [x.where("n = 1").select(F.lit("").alias("tree"), F.col("tree").alias("name"), "digest") for x in levels]
     subroots = tops[0]
     for t in tops[1:]:
         subroots = subroots.unionByName(t)
-    return Manifest(levels, grown(numbered(written(subroots, "merkle-subroots"), "name"), fanout))
+    return Manifest(levels, grown(numbered(written(subroots, "merkle-subroots"), "tree", "name"), fanout))
 
 
 def _pushed(levels: list[DataFrame], tops: DataFrame, fanout: int) -> DataFrame:

@@ -246,6 +246,29 @@ def _merkle() -> str:
 SELECT doc_id, leaf, subroot, (SELECT digest FROM roots) AS root, sha256({siblings}) AS proof_sha256, f{last} AS folded_root, f{last} = (SELECT digest FROM roots) AS verified FROM folds{last}"""
 
 
+def _divergence() -> str:
+    lowered = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    share = lambda n, total: f"(1 + (1000000000::HUGEINT * ({n} + 1)) // ({total} + v.terms))::HUGEINT"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {lowered} AS text FROM documents),
+w AS (SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT id) AS docs FROM w GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS total FROM c GROUP BY lang, term HAVING sum(docs) >= 3),
+v AS (SELECT lang, count(*) AS terms, sum(total) AS total FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+s AS (SELECT g.lang, g.source, coalesce(sum(c.n) FILTER (k.term IS NOT NULL), 0) AS total FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source
+      LEFT JOIN k ON k.lang = c.lang AND k.term = c.term GROUP BY ALL),
+p AS (SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, {share("coalesce(c.n, 0)", "s.total")} AS p, {share("k.total", "v.total")} AS q
+      FROM s JOIN v ON v.lang = s.lang JOIN k ON k.lang = s.lang LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+e AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE n > 0 AND p > q
+)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item COLLATE "C"))::INTEGER AS rank FROM e QUALIFY part = 'pair' OR rank <= 200"""
+
+
 ORACLES = {
     "op3_bloom_cascade": _urls(),
     "op4_preference_format": _preferences(),
@@ -254,4 +277,5 @@ ORACLES = {
     "op8_license_dice": _licenses(),
     "op10_systematic_mix": _mix(),
     "op11_merkle_manifest": _merkle(),
+    "op12_source_divergence": _divergence(),
 }

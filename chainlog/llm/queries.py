@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, merkle, mixing, near_dups, packing, preferences, pseudonyms, quality, records, spotsigs, url_filter
+from . import divergence, langid, licenses, merkle, mixing, near_dups, packing, preferences, pseudonyms, quality, records, spotsigs, url_filter
 from .common import shared_dir, table
 
 #: Vocabulary files, on every worker.
@@ -97,6 +97,17 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(table(spark, sf_dir, "documents"))
+
+
+def op13_byte_cnn_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0)
+    model = langid.train(docs.where("NOT held_out"))
+    return langid.predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -111,5 +122,7 @@ QUERIES = {
         op9_icws_near_dups,
         op10_systematic_mix,
         op11_merkle_manifest,
+        op12_source_divergence,
+        op13_byte_cnn_lang,
     )
 }
