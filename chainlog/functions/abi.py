@@ -109,9 +109,14 @@ def _head_size(kind: str) -> int:
     return WORD
 
 
+def _sized(n: int) -> str:
+    """A number as errors show it: in hex where no data are so long."""
+    return str(n) if n < 16**7 else hex(n)
+
+
 def _take(data: bytes, at: int, n: int) -> bytes:
     if at + n > len(data):
-        raise ShortData(f"{n} bytes wanted at {at}, {len(data)} are there")
+        raise ShortData(f"{_sized(n)} bytes wanted at {_sized(at)}, {len(data)} are there")
     return data[at : at + n]
 
 
@@ -133,7 +138,7 @@ def _value(kind: str, data: bytes, at: int):
             n = int.from_bytes(_take(data, at, WORD), "big")
             at += WORD
             if n * _head_size(item) > len(data) - at:
-                raise ShortData(f"an array of {n} items does not fit")
+                raise ShortData(f"an array of {_sized(n)} items does not fit")
         return _sequence([item] * n, data, at)
     if kind.startswith("("):
         return tuple(_sequence(_split(kind[1:-1]), data, at))
@@ -143,7 +148,10 @@ def _value(kind: str, data: bytes, at: int):
         pad = _take(data, at + WORD + n, -n % WORD)
         if any(pad):
             raise BadPadding("bytes after the value are not zero")
-        return body if kind == "bytes" else body.decode("utf-8")
+        try:
+            return body if kind == "bytes" else body.decode("utf-8")
+        except UnicodeDecodeError as e:
+            raise EventError("bytes are no UTF-8 text") from e
     word = _take(data, at, WORD)
     if kind == "address":
         if any(word[:12]):
@@ -182,7 +190,10 @@ def decode_values(kinds: list[str], data: bytes) -> list:
 def as_bytes(text: str | None) -> bytes:
     if text is None:
         raise EventError("no data")
-    return bytes.fromhex(text[2:] if text[:2] in ("0x", "0X") else text)
+    digits = text[2:] if text[:2] in ("0x", "0X") else text
+    if len(digits) % 2 or not re.fullmatch("[0-9a-fA-F]*", digits):
+        raise EventError("no hex text")
+    return bytes.fromhex(digits)
 
 
 def in_topic(kind: str) -> bool:
@@ -222,10 +233,7 @@ def decode_log(entry: dict, topics: list[str], data: str) -> list[tuple[str, str
         raise EventError(f"{n} indexed inputs, {len(topics)} topics for them")
     kinds = [kind for _, kind, indexed in inputs if not (topics and indexed)]
     body = bytes(WORD * len(kinds)) if kinds and data == "0x" else as_bytes(data)
-    try:
-        values, words = iter(decode_values(kinds, body)), iter(topics)
-    except (UnicodeDecodeError, OverflowError) as e:
-        raise EventError(str(e)) from e
+    values, words = iter(decode_values(kinds, body)), iter(topics)
     out = []
     for name, kind, indexed in inputs:
         if not (topics and indexed):

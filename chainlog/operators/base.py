@@ -14,24 +14,27 @@ def hex_to_long(value: Column) -> Column:
     return F.when(value.rlike(HEX) & ((F.length(digits) < 16) | ((F.length(digits) == 16) & digits.rlike("^[0-7]"))), F.coalesce(F.conv(F.when(digits == "", "0").otherwise(digits), 16, 10), F.lit("0")).cast("long"))
 
 
-def hex_to_decimal_text(value: Column) -> Column:
-    """A number of any width from 0x text, as decimal digits; null if it is not one.
+def decimal_text(digits: Column, plus: Column | int = 0) -> Column:
+    """A number of at most 64 hex digits without leading zeros as decimal text, or that of the number `plus` above it.
 
     Up to 30 hex digits are two longs in a decimal; only wider numbers, up to 256 bits, take the way by limbs.
     """
-    digits = F.ltrim(F.substring(value, 3, 80), F.lit("0"))
-    n = F.length(digits)
+    n, plus = F.length(digits), F.lit(plus)
     low = F.conv(F.substring(digits, -15, 15), 16, 10).cast("decimal(19,0)")
     high = F.conv(F.substr(digits, F.lit(1), F.greatest(n - 15, F.lit(0))), 16, 10).cast("decimal(19,0)")
-    two = (high * F.lit(1 << 60).cast("decimal(19,0)") + low).cast("decimal(38,0)").cast("string")
-    text = F.when(n == 0, "0").when(n <= 15, low.cast("string")).when(n <= 30, two).when(n <= 64, _by_limbs(digits))
-    return F.when(value.rlike(HEX), text)
+    two = (high * F.lit(1 << 60).cast("decimal(19,0)") + low + plus).cast("decimal(38,0)").cast("string")
+    return F.when(n == 0, plus.cast("string")).when(n <= 15, (low + plus).cast("decimal(38,0)").cast("string")).when(n <= 30, two).when(n <= 64, _by_limbs(digits, plus))
+
+
+def hex_to_decimal_text(value: Column) -> Column:
+    """A number of any width from 0x text, as decimal digits; null if it is not one."""
+    return F.when(value.rlike(HEX), decimal_text(F.ltrim(F.substring(value, 3, 80), F.lit("0"))))
 
 
-def _by_limbs(digits: Column) -> Column:
+def _by_limbs(digits: Column, plus: Column) -> Column:
     """Hex digits are folded six at a time into limbs of nine decimal digits, so 256-bit values keep every digit."""
     padded = F.lpad(digits, 66, "0")
-    chunks = F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: F.conv(F.substr(padded, i * 6 + 1, F.lit(6)), 16, 10).cast("long"))
+    chunks = F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: F.conv(F.substr(padded, i * 6 + 1, F.lit(6)), 16, 10).cast("long") + F.when(i == 10, plus).otherwise(0))
     zero = F.array(*[F.lit(0).cast("long")] * 9)
 
     def push(limbs: Column, chunk: Column) -> Column:

@@ -673,6 +673,20 @@ def decode_structlogs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoding.extract_struct_logs(e.select("event_id", F.to_json(steps).alias("struct_logs"), F.lit("0xc0").alias("to"))).select("event_id", "event_pos", "address", F.get("topics", F.lit(0)).alias("topic"), "data")
 
 
+@query("""SELECT event_id, i::INTEGER AS event_pos, CASE WHEN i IN (1, 2, 4) THEN '0x' || repeat('c0', 20) WHEN i = 3 THEN printf('0x%040x', event_id) ELSE printf('0x%040x', user_id + 1) END AS address,
+  printf('0x%064x', i) AS topic FROM events, range(1, 7) t(i)""")
+def struct_log_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs before and in a delegate call, in a call made there, after it, and in a creation with a delegate call inside."""
+    e = st.read(spark, sf_dir, "events")
+    step = lambda op, depth, *stack: F.struct(F.lit(op).alias("op"), F.lit(depth).alias("depth"), F.array(*stack).alias("stack"), F.array(F.lit("")).alias("memory"))
+    log_ = lambda i, depth: step("LOG1", depth, word(F.lit(i)), F.lit("0x0"), F.lit("0x0"))
+    opens = lambda op, depth, to: step(op, depth, word(to), F.lit("0x9"))
+    steps = [log_(1, 1), opens("DELEGATECALL", 1, F.col("user_id")), log_(2, 2), opens("CALL", 2, F.col("event_id")), log_(3, 3), log_(4, 1)]
+    steps += [step("CREATE2", 1), log_(5, 2), opens("CALLCODE", 2, F.lit(7)), log_(6, 3), step("POP", 1, word(F.col("user_id") + 1))]
+    traces = e.select("event_id", F.to_json(F.array(*steps)).alias("struct_logs"), F.lit("0x" + "C0" * 20).alias("to"))
+    return decoding.extract_struct_logs(traces).select("event_id", "event_pos", "address", F.get("topics", F.lit(0)).alias("topic"))
+
+
 TOPICS = (
     ("Transfer(address,address,uint256)", TRANSFER),
     ("Approval(address,address,uint256)", "0x8c5be1e5ebec7d5bd14f71427d1e84f3dd0314c0f7b2291e5b200ac8c7c3b925"),

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.decoding import decode_events, decode_functions
+from ..functions.decoding import compiled_abis, decode_events, decode_functions
 from ..operators import addresses as addresses_of
 from ..operators import base, enrich, filters, ocel, relational
 from ..operators.graph import create_closure, creation_edges, level_expand
@@ -72,12 +72,13 @@ def extract(spark: SparkSession, config: Config, data: Captured) -> dict[str, Da
 
 
 def decode(config: Config, trace: DataFrame, contracts: DataFrame, abis: DataFrame) -> dict[str, DataFrame]:
-    """The categories that are asked for. Rows are chosen before anything is decoded."""
+    """The categories that are asked for. Rows are chosen before anything is decoded; ABIs are compiled once for all of them."""
     out = {}
+    events_abi, calls_abi = compiled_abis(abis, "event"), compiled_abis(abis, "function")
     for side, category in sorted(config.output):
         keep = filters.in_set if side == "dapp" else filters.not_in_set
         if category == "events":
-            out[f"{side}_events"] = decode_events(keep(filters.events(trace), "address", contracts), abis)
+            out[f"{side}_events"] = decode_events(keep(filters.events(trace), "address", contracts), events_abi)
         elif category == "creations":
             made = filters.creations(trace)
             out[f"{side}_creations"] = keep(made, "to", contracts)
@@ -86,7 +87,7 @@ def decode(config: Config, trace: DataFrame, contracts: DataFrame, abis: DataFra
             zero: bool | None = category != "calls"
             if category == "delegatecalls" and not config.delegatecall_value_filter:
                 zero = None
-            out[f"{side}_{category}"] = decode_functions(keep(filters.calls(trace, kind, zero), "to", contracts), abis)
+            out[f"{side}_{category}"] = decode_functions(keep(filters.calls(trace, kind, zero), "to", contracts), calls_abi)
     return out
 
 

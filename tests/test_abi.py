@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -148,6 +149,44 @@ def test_struct_logs_in_nested_frames(spark):
     assert [r["address"] for r in struct_logs(spark, steps, A)] == [A, A, of("07"), of("02"), of("07"), A, of("03")]
 
 
+def test_struct_logs_of_delegates(spark):
+    """A delegate call emits as the frame it was made in, also inside another, in a creation and around a call; or as the callee."""
+    of = lambda d: "0x" + d * 20
+    opens = lambda op, d, depth: step(op, depth, ["0" * 24 + d * 20, "0x9"])
+    log = lambda depth: step("LOG0", depth, ["0x0", "0x0"], [""])
+    steps = [opens("DELEGATECALL", "01", 1), log(2), opens("CALLCODE", "02", 2), log(3), opens("CALL", "03", 3), log(4), opens("DELEGATECALL", "04", 4), log(5), log(2)]
+    steps += [step("CREATE", 1), opens("DELEGATECALL", "05", 2), log(3), log(2), step("POP", 1, ["06" * 20]), log(1)]
+    traces = spark.createDataFrame([("t", json.dumps(steps), A)], "hash string, struct_logs string, `to` string")
+    got = lambda **how: [r["address"] for r in decoding.extract_struct_logs(traces, **how).orderBy("event_pos").collect()]
+    assert got() == [A, A, of("03"), of("03"), A, of("06"), of("06"), A]
+    assert got(delegates_are_callees=True) == [of("01"), of("02"), of("03"), of("04"), of("01"), of("05"), of("06"), A]
+
+
+def test_struct_logs_of_odd_traces(spark):
+    """No steps, depths that jump without an opener, a creation that never returns, an opener at the end, null fields, bad JSON."""
+    log = lambda depth: step("LOG0", depth, ["0x0", "0x0"], [""])
+    assert struct_logs(spark, [], A) == []
+    assert [r["address"] for r in struct_logs(spark, [log(1), log(3), log(1)], A)] == [A, None, A]
+    assert [r["address"] for r in struct_logs(spark, [step("CREATE", 2), log(3), log(1)], A)] == [None, None]
+    assert [r["address"] for r in struct_logs(spark, [log(1), step("CALL", 1, ["1", "2"])], A)] == [A]
+    assert [r["address"] for r in struct_logs(spark, [{"op": None, "depth": 1}, {"depth": None}, log(1)], A)] == [A]
+    bad = spark.createDataFrame([("t", "{", A), ("u", None, A)], "hash string, struct_logs string, `to` string")
+    assert decoding.extract_struct_logs(bad).count() == 0
+
+
+def test_many_steps_take_time_in_proportion(spark):
+    """100,000 steps with 5,000 logs in 2,500 frames."""
+    log, stop = step("LOG0", 2, ["0", "0"], [""]), step("ADD", 1, ["1", "2"])
+    steps = []
+    for k in range(2500):
+        steps += [step("CALL", 1, [f"{k:040x}", "9"]), log, *[step("ADD", 2)] * 30, log, *[stop] * 7]
+    assert len(steps) == 100_000
+    began = time.time()
+    got = struct_logs(spark, steps, A)
+    assert time.time() - began < 60
+    assert [r["address"] for r in got] == [f"0x{k:040x}" for k in range(2500) for _ in range(2)]
+
+
 def test_decoded_struct_logs(spark):
     entry = abi._event("Hit", "uint256 indexed n", "uint256 amount")
     n, amount = "00" * 31 + "05", "00" * 31 + "09"
