@@ -36,6 +36,8 @@ LETTER = regex.compile(r"\p{L}")
 LETTERS = np.array([b >= 0x80 or chr(b).isalpha() for b in range(256)])
 #: Windows that go through the network at once: few enough for their answers to stay in a core's cache.
 BATCH = 32
+#: Groups of tasks whose samples are cut before they meet.
+PARTS = 256
 
 
 @dataclass(frozen=True)
@@ -151,7 +153,8 @@ def learned(windows: np.ndarray, labels: np.ndarray, langs: list[str], net: Net
 
 
 def sampled(docs: DataFrame, key: str, text: str, label: str, sample: Sample = Sample(), window: int = Net.window) -> DataFrame:
-    """(label, windows) of the sample, in a fixed order: rows of each label by their key's hash. The rank is cut before the shuffle."""
+    """(label, windows) of the sample, in a fixed order: rows of each label by their key's hash. Ranks are cut in
+    each task before they are shuffled, then in groups of tasks and then in all, so no task gets a language's rows."""
     body = F.encode(F.col(text), "utf-8")
     last = F.greatest(F.length("body") - window, F.lit(0))
     place = lambda i: F.pmod(F.xxhash64(F.col("k"), F.lit(i)), last + 1)
@@ -159,8 +162,10 @@ def sampled(docs: DataFrame, key: str, text: str, label: str, sample: Sample = S
     rows = docs.where(F.col(text).rlike(r"\p{L}") & F.col(label).isNotNull())
     rows = rows.select(F.col(label).cast("string").alias("label"), F.col(key).cast("string").alias("k"), body.alias("body"))
     rows = rows.select("label", F.xxhash64("k").alias("h"), cut.alias("windows"))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("h", "windows"))
-    rows = rows.withColumn("rank", rank).where(F.col("rank") <= sample.per_lang)
+    rows = rows.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(PARTS)))
+    for keys in (("label", "part"), ("label",)):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("h", "windows"))
+        rows = rows.withColumn("rank", rank).where(F.col("rank") <= sample.per_lang)
     return rows.orderBy("rank", "label").limit(sample.total).select("label", "windows")
 
 
