@@ -1,9 +1,10 @@
 """Packing by vector bin packing: examples are placed into sequences under limits on tokens, segments and loss-bearing tokens
-at once. A sequence takes the example whose demand has the largest dot product with what the sequence has left, each
-dimension as a share of its limit, until none fits.
+at once, by dot products of demands with what sequences have left, each dimension as a share of its limit.
 
-With cutting allowed, a gap that no whole example fits is filled with the head of the largest one, whose rest stays to be
-placed. Without cutting, examples stay whole and sequences may end early.
+With cutting allowed, a sequence takes the example whose demand has the largest product with its room until none fits, and
+what is left is filled with the head of the largest one, whose rest stays to be placed. Without cutting, examples stay whole:
+the largest goes first, into the one of at most OPEN sequences along whose room its demand points best; where all are too
+full, the fullest ends early.
 
 Each partition is packed for itself, without a shuffle, from a pool of at most POOL examples (with cutting, of less than one
 sequence each). What documents leave over at a partition's end, less than a sequence, is packed once more with that of
@@ -32,6 +33,8 @@ from .common import written
 from .tokens import encoder
 
 POOL = 512
+#: Sequences that whole examples may still join.
+OPEN = 256
 ROWS_OUT = 256
 FREE = 1 << 40
 #: Partitions whose rests are packed together, and from where the ids of the sequences count that these make.
@@ -148,6 +151,64 @@ class Packer:
             yield b"".join(ids), loss, pieces
 
 
+class Placer:
+    """Places whole examples: a pool's by the largest demand first, each into the open sequence whose room it points along best,
+    which is the dot product of its demand with the room over the room's length, in shares of the limits."""
+
+    def __init__(self, limits: Limits, alone: bool = False):
+        self.limits = np.array([limits.tokens, limits.segments, limits.loss], float)
+        self.alone = alone
+        self.pool: list[tuple[list, np.ndarray]] = []
+        self.open: list[list[list]] = []
+        self.room = np.zeros((0, 3))
+
+    def add(self, doc, ids: np.ndarray, loss_from: int) -> Iterator[list[list]]:
+        n = len(ids)
+        if not n:
+            return
+        item, demand = [doc, ids, 0, n, loss_from], np.array([n, 1, max(0, n - max(1, loss_from))]) / self.limits
+        if (demand > 1).any():
+            if not self.alone:
+                raise ValueError(f"example {doc} exceeds the limits by itself")
+            yield [item]
+            return
+        self.pool.append((item, demand))
+        if len(self.pool) == POOL:
+            yield from self._place()
+
+    def _place(self) -> Iterator[list[list]]:
+        for item, demand in sorted(self.pool, key=lambda x: -x[1].sum()):
+            fits = (self.room >= demand - 1e-12).all(axis=1)
+            if fits.any():
+                along = np.where(fits, self.room @ demand / np.maximum(np.linalg.norm(self.room, axis=1), 1e-12), -1)
+                at = int(along.argmax())
+            else:
+                if len(self.open) == OPEN:
+                    yield self._close(int(self.room.sum(axis=1).argmin()))
+                at = len(self.open)
+                self.open.append([])
+                self.room = np.vstack([self.room, np.ones(3)])
+            self.open[at].append(item)
+            self.room[at] -= demand
+            if (self.room[at, :2] < 1 / self.limits[:2] - 1e-12).any():  # no token or segment is left
+                yield self._close(at)
+        self.pool.clear()
+
+    def _close(self, at: int) -> list[list]:
+        self.room = np.delete(self.room, at, axis=0)
+        return self.open.pop(at)
+
+    def rest(self) -> Iterator[list[list]]:
+        yield from self._place()
+        while self.open:
+            yield self._close(0)
+
+    def rows(self, filled: list[list]) -> Iterator[tuple[bytes, int, list[tuple]]]:
+        ends = np.cumsum([len(x[1]) for x in filled]).tolist()
+        pieces = [(doc, 0, n, end - n, n) for (doc, _, _, n, _), end in zip(filled, ends)]
+        yield b"".join(x[1].tobytes() for x in filled), sum(max(0, n - max(1, first)) for _, _, _, n, first in filled), pieces
+
+
 PIECE = ("doc_id", "start", "length", "offset", "doc_tokens")
 
 
@@ -159,7 +220,7 @@ def _pieces(rows: list[list[tuple]]) -> pa.Array:
 
 def _batches(examples: Iterator[tuple], limits: Limits, cut: bool, last: bool = True, alone: bool = False, first_id: int = 0) -> Iterator[pa.RecordBatch]:
     """examples: (doc, ids, first loss-bearing position, start, total), or without the last two if whole."""
-    packer, rows = Packer(limits, cut, last, alone), []
+    packer, rows = Packer(limits, cut, last, alone) if cut else Placer(limits, alone), []
     context = TaskContext.get()
     number = first_id + ((context.partitionId() if context else 0) << 36)
 
@@ -219,7 +280,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc
     full = F.col("n_tokens") >= limits.tokens
     rests = first.where(~full)
     groups = max(1, -(-rests.count() // TAILS))
-    packed = rests.select("input_ids", "pieces", "sequence_id").repartitionByRange(groups, "sequence_id").select("input_ids", "pieces").mapInArrow(again, SCHEMA)
+    packed = rests.select("input_ids", "pieces", "sequence_id").repartitionByRange(groups, "sequence_id").sortWithinPartitions("sequence_id").select("input_ids", "pieces").mapInArrow(again, SCHEMA)
     return first.where(full).unionByName(packed)
 
 
