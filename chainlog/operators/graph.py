@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import written
+from .components import connected_components
 from .filters import creations
 
 
@@ -18,25 +19,21 @@ def creation_edges(trace: DataFrame) -> DataFrame:
 
 
 def create_closure(edges: DataFrame, seeds: DataFrame, deny: DataFrame | None = None, prune: str = "after") -> DataFrame:
-    """(address): the seeds and all that created them or was created by them, and so on.
+    """(address): the seeds and all that created them or was created by them, and so on: the components that have a seed.
 
-    prune says whether denied addresses go at the end, when others may have been reached through them, or before. Each round
-    joins the new addresses only; a round's result is written to the shared folder, so plans stay short.
+    prune says whether denied addresses go at the end, when others may have been reached through them, or before. Components
+    come from rounds that contract the graph, so a chain of creations takes rounds by the logarithm of its length.
     """
     seeds = seeds.select("address").where("address IS NOT NULL").distinct()
-    both = edges.select(F.col("from").alias("a"), F.col("to").alias("b")).unionByName(edges.select(F.col("to").alias("a"), F.col("from").alias("b"))).distinct()
+    pairs = edges.select(F.col("from").alias("a"), F.col("to").alias("b"))
     if deny is not None and prune == "before":
         gone = deny.select("address").distinct()
-        both = both.join(gone, both["a"] == gone["address"], "left_anti").join(gone, both["b"] == gone["address"], "left_anti")
+        pairs = pairs.join(gone, pairs["a"] == gone["address"], "left_anti").join(gone, pairs["b"] == gone["address"], "left_anti")
         seeds = seeds.join(gone, "address", "left_anti")
-    both = written(both, "creations")
-    known = frontier = written(seeds, "known")
-    while True:
-        near = both.join(frontier, both["a"] == frontier["address"]).select(F.col("b").alias("address")).distinct()
-        frontier = written(near.join(known, "address", "left_anti"), "frontier")
-        if frontier.isEmpty():
-            return deny_list(known, deny) if deny is not None else known
-        known = written(known.unionByName(frontier), "known")
+    found = connected_components(pairs, written)
+    own = found.join(seeds, found["node"] == seeds["address"], "left_semi").select("component").distinct()
+    known = written(found.join(own, "component", "left_semi").select(F.col("node").alias("address")).unionByName(seeds).distinct(), "known")
+    return deny_list(known, deny) if deny is not None else known
 
 
 def deny_list(addresses: DataFrame, deny: DataFrame) -> DataFrame:

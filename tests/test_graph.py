@@ -1,7 +1,10 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 from chainlog.operators import graph
 from chainlog.operators.components import connected_components
@@ -90,6 +93,60 @@ def test_a_long_chain_of_creations(spark):
     assert {r["component"] for r in connected_components(edges, written).collect()} == {"n000"}
 
 
+def shuffled_chain(spark, n):
+    names = [f"n{i:05}" for i in range(n)]
+    random.Random(8).shuffle(names)
+    return names, spark.createDataFrame(list(zip(names, names[1:])), "a string, b string")
+
+
+def counted(rounds):
+    def write(df, purpose):
+        rounds.append(purpose)
+        return written(df, purpose)
+
+    return write
+
+
+def test_a_chain_of_shuffled_names_takes_few_rounds(spark):
+    """10,000 nodes in an order that their names do not tell."""
+    _, edges = shuffled_chain(spark, 10_000)
+    rounds = []
+    got = connected_components(edges, counted(rounds))
+    assert rounds.count("hooks") <= 20
+    assert got.count() == 10_000 and {r["component"] for r in got.select("component").distinct().collect()} == {"n00000"}
+
+
+def test_closure_of_a_shuffled_chain(spark):
+    names, edges = shuffled_chain(spark, 10_000)
+    edges = edges.select(F.col("a").alias("from"), F.col("b").alias("to"))
+    assert graph.create_closure(edges, addresses(spark, names[500], "alone")).count() == 10_001
+    cut = addresses(spark, names[1000])
+    got = {r[0] for r in graph.create_closure(edges, addresses(spark, names[500]), cut, prune="before").collect()}
+    assert got == set(names[:1000])
+
+
+def test_components_against_plain_python(spark):
+    """Random graphs with stars, rings, pairs, repeated edges, loops and null ends."""
+    rng = random.Random(9)
+    edges = [(f"{k}.{rng.randint(0, 12):02}", f"{k}.{rng.randint(0, 12):02}") for k in range(40) for _ in range(rng.randint(1, 14))]
+    edges += [("hub", f"leaf{i:03}") for i in range(300)] + [(f"r{i}", f"r{(i + 1) % 7}") for i in range(7)] + [("p", "q"), ("q", "p"), ("x", "x"), (None, "y"), ("y", None)]
+    edges += [("hub", "r3")]
+    top = {}
+
+    def find(x):
+        while top.setdefault(x, x) != x:
+            x = top[x]
+        return x
+
+    for a, b in edges:
+        if a and b and a != b:
+            low, high = sorted((find(a), find(b)))
+            top[high] = low
+    got = dict(connected_components(frame(spark, edges, "a string, b string"), written).collect())
+    assert got == {x: find(x) for x in top}
+    assert connected_components(frame(spark, [("x", "x")], "a string, b string"), written).collect() == []
+
+
 def test_scratch_tables_are_deleted(spark):
     kept = written(spark.range(2), "kept")
     with tables.scratch(spark):
