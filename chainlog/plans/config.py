@@ -25,6 +25,7 @@ class Config:
     delegatecall_value_filter: bool = True
     order_by_tx_index: bool = False
     prune: str = "after"
+    incomplete: str = "warn"  # or fail: what a run does if captured pages are not whole
     extra: dict = field(default_factory=dict, compare=False)
 
     def __post_init__(self) -> None:
@@ -35,6 +36,8 @@ class Config:
             problems.append("block_range needs 0 <= min_block <= max_block")
         if self.prune not in ("after", "before"):
             problems.append("prune is after or before")
+        if self.incomplete not in ("warn", "fail"):
+            problems.append("misc.incomplete is warn or fail")
         if not self.log_folder:
             problems.append("misc.log_folder is empty")
         if problems:
@@ -69,6 +72,7 @@ class Config:
             log_folder=part("misc", "log_folder", default="output"),
             order_by_tx_index=bool(part("misc", "order_by_tx_index", default=False)),
             node_url=url,
+            incomplete=part("misc", "incomplete", default="warn"),
         )
 
     @classmethod

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.decoding import compiled_abis, decode_events, decode_functions
 from ..operators import addresses as addresses_of
-from ..operators import base, enrich, filters, ocel, relational
+from ..operators import base, coverage, enrich, filters, ocel, relational
 from ..operators.graph import create_closure, creation_edges, level_expand
 from ..operators.trace import flatten_traces
 from ..sources import captured, sinks
@@ -43,6 +43,7 @@ class Captured:
     tx_index: DataFrame | None = None  # hash, ix
     touches: DataFrame | None = None  # hash, contract: every contract that a transaction was listed for
     code: DataFrame | None = None  # address, block, code: what stood at an address
+    pages: DataFrame | None = None  # source, contract, from_block, to_block, ok, n, last_block: what was asked for, and how much came
 
 
 def addresses(spark: SparkSession, values: tuple[str, ...]) -> DataFrame:
@@ -71,6 +72,24 @@ def extract(spark: SparkSession, config: Config, data: Captured) -> dict[str, Da
     return {"trace": trace.join(hashes.select("hash"), "hash", "left_semi"), "contracts": contracts}
 
 
+class IncompleteCapture(ValueError):
+    """Blocks that a run wants are in no captured page."""
+
+
+def missing_blocks(config: Config, pages: DataFrame, contracts: DataFrame) -> DataFrame:
+    """(source, contract, from_block, to_block) that are wanted and that no page answers for certain: the block range of every
+    contract of the DApp, from each source that was captured."""
+    last = F.least(F.lit(config.max_block), F.max("to_block")).alias("to_block")  # without an end, as far as was ever asked
+    ends = pages.where("contract IS NOT NULL").groupBy("source").agg(last).withColumn("from_block", F.lit(config.min_block).cast("long"))
+    # a source and a contract make one key, so all sources are looked through at once
+    key = F.struct("source", F.lower("address").alias("contract"))
+    wanted = contracts.crossJoin(F.broadcast(ends)).select(key.alias("contract"), "from_block", "to_block")
+    of = pages.withColumn("contract", F.struct("source", "contract"))
+    cut, whole = of.where("source <> 'events'"), of.where("source = 'events'")
+    ranges = coverage.covered_ranges(cut).unionByName(coverage.covered_ranges(whole, None))
+    return coverage.missing_ranges(ranges, wanted).select("contract.source", "contract.contract", "from_block", "to_block")
+
+
 def decode(config: Config, trace: DataFrame, contracts: DataFrame, abis: DataFrame) -> dict[str, DataFrame]:
     """The categories that are asked for. Rows are chosen before anything is decoded; ABIs are compiled once for all of them."""
     out = {}
@@ -170,6 +189,12 @@ def run(spark: SparkSession, config: Config, data: Captured, root: str, xml: boo
         return {n: spark.read.parquet(at(stage, n)) for n in names}
 
     first = kept("extraction", extract(spark, config, data)) if "extraction" in config.stages else read("extraction", ["trace", "contracts"])
+    if "extraction" in config.stages and data.pages is not None:
+        missing = kept("extraction", {"missing_blocks": missing_blocks(config, data.pages, first["contracts"])})["missing_blocks"]
+        if not missing.isEmpty():
+            log_of.warning("captured pages are not whole: see %s", at("extraction", "missing_blocks"))
+            if config.incomplete == "fail":
+                raise IncompleteCapture(f"captured pages are not whole: see {at('extraction', 'missing_blocks')}")
     names = [f"{side}_{c}" for side, c in sorted(config.output)]
     decoded = kept("decoding", decode(config, first["trace"], first["contracts"], data.abis)) if "decoding" in config.stages else read("decoding", names)
     if "transformation" not in config.stages:

@@ -49,6 +49,32 @@ def logs(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("transactionHash", _number(F.col("blockNumber")).alias("blockNumber"), F.lower("address").alias("address"))
 
 
+ASKED = "request struct<address:string,from_block:string,to_block:string>"
+
+
+def list_pages(spark: SparkSession, path: str, source: str) -> DataFrame:
+    """(source, contract, from_block, to_block, ok, n, last_block) of captured list responses that say what was asked for:
+    {"request": {"address": ..., "from_block": ..., "to_block": ...}, "status": ..., "result": [...]}.
+
+    An answer that there are no transactions is a whole page; any other failure is none.
+    """
+    raw = spark.read.schema(f"{ASKED}, {LIST}").json(path)
+    ok = (F.col("status") == "1") | F.coalesce(F.startswith("message", F.lit("No transactions found")), F.lit(False))
+    return _pages(raw, source, ok)
+
+
+def log_pages(spark: SparkSession, path: str) -> DataFrame:
+    """The same of captured log responses; one without a result is no page. Nodes do not cut pages."""
+    raw = spark.read.schema(f"{ASKED}, result array<struct<blockNumber:string>>").json(path)
+    return _pages(raw, "events", F.col("result").isNotNull())
+
+
+def _pages(raw: DataFrame, source: str, ok: Column) -> DataFrame:
+    last = F.array_max(F.transform("result", lambda t: _number(t["blockNumber"])))
+    asked = [F.lower("request.address").alias("contract"), *[_number(F.col(f"request.{c}")).alias(c) for c in ("from_block", "to_block")]]
+    return raw.select(F.lit(source).alias("source"), *asked, F.coalesce(ok, F.lit(False)).alias("ok"), F.coalesce(F.size("result"), F.lit(0)).cast("long").alias("n"), last.alias("last_block"))
+
+
 def blocks(spark: SparkSession, path: str) -> DataFrame:
     """(number, timestamp) of captured block responses: {"result": {"number": ..., "timestamp": ...}}."""
     df = spark.read.schema("result struct<number:string,timestamp:string>").json(path).select("result.*")
