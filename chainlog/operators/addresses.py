@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .filters import flag_in_set
@@ -30,12 +30,33 @@ def combined_blocks(frames: list[DataFrame]) -> DataFrame:
     return every.groupBy("address").agg(F.min("first_block").alias("first_block"), F.max("last_block").alias("last_block"), F.min("last_block").alias("lookup_block"))
 
 
+def as_of(lookups: DataFrame, states: DataFrame, value: str, span: int = 100_000) -> DataFrame:
+    """(address, block, value, known): what was last captured of an address at or before a block. lookups: (address, block);
+    states: (address, block, value), of which several at one block count as the greatest.
+
+    Captures and lookups are put in one order and the last capture is carried on, within spans of so many blocks; what a span
+    begins with comes from the last captures of the spans before. So a window holds an address's rows of one span, or a row for
+    each of its spans, however often it was captured or is asked for. Lookups that repeat are one; a null address or block has none.
+    """
+    there = "address IS NOT NULL AND block IS NOT NULL"
+    captures = states.where(there).groupBy("address", "block").agg(F.struct(F.max(value).alias("v")).alias("state"))
+    asked = lookups.where(there).select("address", "block").distinct().withColumn("state", F.lit(None).cast(captures.schema["state"].dataType))
+    rows = captures.withColumn("asked", F.lit(False)).unionByName(asked.withColumn("asked", F.lit(True))).withColumn("span", F.floor(F.col("block") / span))
+    last = rows.groupBy("address", "span").agg(F.max_by("state", F.when(~F.col("asked"), F.col("block"))).alias("state"))
+    before = Window.partitionBy("address").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    starts = last.select("address", "span", F.last("state", ignorenulls=True).over(before).alias("start"))
+    upto = Window.partitionBy("address", "span").orderBy("block", "asked").rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("own", F.last("state", ignorenulls=True).over(upto)).where("asked").join(starts, ["address", "span"])
+    state = F.coalesce("own", "start")
+    return found.select("address", "block", state["v"].alias(value), state.isNotNull().alias("known"))
+
+
 def address_dictionary(blocks: DataFrame, contracts: DataFrame, code: DataFrame, labels: DataFrame) -> DataFrame:
     """(address, dapp_flag, type, contract_label). code: captured (address, block, code); an address without code at or before
     its lookup block is an EOA. labels: (address, contract_label)."""
-    at = code.select(F.lower("address").alias("__a"), "block", "code")
-    found = blocks.join(at, (F.col("address") == F.col("__a")) & (F.col("block") <= F.col("lookup_block")), "left")
-    kind = found.groupBy("address").agg(F.max_by("code", F.when(F.col("__a").isNotNull(), F.col("block"))).alias("code"))
+    lookups = blocks.select("address", F.col("lookup_block").alias("block"))
+    found = as_of(lookups, code.select(F.lower("address").alias("address"), "block", "code"), "code").select("address", "code")
+    kind = blocks.select("address").distinct().join(found, "address", "left")
     kind = kind.withColumn("type", F.when(F.coalesce("code", F.lit("0x")) == "0x", "EOA").otherwise("CA")).drop("code")
     kind = flag_in_set(kind, "address", contracts.select("address"), "__dapp")
     kind = kind.join(labels.select(F.col("address").alias("__l"), "contract_label"), F.col("address") == F.col("__l"), "left").drop("__l")

@@ -475,6 +475,15 @@ def address_dict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return addresses.address_dictionary(_combined(spark, sf_dir), dapp, code, labels.withColumnRenamed("inherited_label", "contract_label"))
 
 
+@query("""SELECT l.address, l.block, s.code, s.code IS NOT NULL AS known FROM (SELECT DISTINCT 'C' || l_suppkey AS address, l_orderkey % 1000 AS block FROM lineitem WHERE l_linestatus = 'O') l
+  ASOF LEFT JOIN (SELECT 'C' || l_suppkey AS address, l_orderkey % 1000 AS block, max('0x' || l_partkey) AS code FROM lineitem WHERE l_linestatus <> 'O' GROUP BY ALL) s ON l.address = s.address AND l.block >= s.block""")
+def code_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open lines ask for a supplier's code, the others captured it."""
+    block = (F.col("l_orderkey") % 1000).alias("block")
+    lines = st.read(spark, sf_dir, "lineitem").select(F.concat(F.lit("C"), "l_suppkey").alias("address"), block, F.concat(F.lit("0x"), "l_partkey").alias("code"), "l_linestatus")
+    return addresses.as_of(lines.where("l_linestatus = 'O'"), lines.where("l_linestatus <> 'O'"), "code", span=100)
+
+
 @query("""SELECT DISTINCT address FROM (SELECT address FROM steps UNION ALL SELECT "to" FROM steps WHERE calltype IN ('CALL', 'DELEGATECALL')) WHERE address IS NOT NULL""", st.STEPS)
 def address_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return addresses.address_selection(st.steps(spark, sf_dir))
