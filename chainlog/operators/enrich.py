@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType, _parse_datatype_string
 
 from .filters import flag_in_set
 from .graph import label_by_relative
@@ -118,9 +119,45 @@ def repaired_json(text: Column) -> Column:
     return F.coalesce(F.try_parse_json(text), F.try_parse_json(F.concat(text, F.lit('"}'))))
 
 
-def extra_info(df: DataFrame, fields: dict[str, str], text: str = "extraInfo", market: str = "market") -> DataFrame:
-    """(market, <fields>) of market creations; fields: new name to path in the JSON. Each row keeps its own market."""
+def json_fields(values: Column, df: DataFrame, prefix: str = "") -> dict[str, str]:
+    """New name to path for every key that objects of a VARIANT column have, in order of name; keys of nested objects are dotted.
+
+    Found by one aggregate that merges the rows' schemas, so what comes to the driver is as large as the keys, not the rows.
+    What is an object in one row and something else in another is one field, as are arrays. Names that differ in nothing but
+    case get their number. A key with both kinds of quotes has no path, and so no field.
+    """
+    objects = df.where(F.startswith(F.schema_of_variant(values), F.lit("OBJECT")))
+    ddl = objects.agg(F.schema_of_variant_agg(values).alias("s")).first()["s"]
+    found: list[tuple[str, str]] = []
+
+    def walk(schema: DataType, name: str, path: str) -> None:
+        for f in schema.fields:
+            own = name + f.name
+            quote = '"' if "'" in f.name else "'"
+            if quote in f.name:
+                continue
+            step = f"{path}[{quote}{f.name}{quote}]"
+            if isinstance(f.dataType, StructType):
+                walk(f.dataType, own + ".", step)
+            else:
+                found.append((own, step))
+
+    schema = _parse_datatype_string(ddl.replace("OBJECT<", "STRUCT<")) if ddl else None
+    if isinstance(schema, StructType):
+        walk(schema, prefix, "$")
+    taken: dict[str, int] = {}
+    out = {}
+    for name, path in sorted(found):
+        taken[name.lower()] = taken.get(name.lower(), 0) + 1
+        out[name if taken[name.lower()] == 1 else f"{name}_{taken[name.lower()]}"] = path
+    return out
+
+
+def extra_info(df: DataFrame, fields: dict[str, str] | None = None, text: str = "extraInfo", market: str = "market", prefix: str = "info_") -> DataFrame:
+    """(market, <fields>) of market creations; fields: new name to path in the JSON, or None for all keys that there are, by
+    their dotted names with the prefix. Each row keeps its own market. Objects and arrays are given as JSON text."""
     made = df.where(F.col("Activity") == "create market").select(market, text, repaired_json(F.col(text)).alias("__v"))
+    fields = json_fields(F.col("__v"), made, prefix) if fields is None else fields
     cols = [F.try_variant_get("__v", path, "string").alias(name) for name, path in fields.items()]
     return made.select(market, *cols, (F.col(text).isNotNull() & F.col("__v").isNull()).alias("extra_info_broken"))
 

@@ -350,6 +350,18 @@ def extra_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.extra_info(_markets(spark, sf_dir), {"k": "$.k", "d": "$.d"})
 
 
+@query("""SELECT event_id AS market, false AS extra_info_broken, json_extract_string(props, '$.k') AS "info_k", CASE WHEN event_id % 2 = 0 THEN 'x' || event_id END AS "info_a.b",
+  CASE WHEN event_id % 2 = 0 THEN '[1,' || event_id || ']' END AS "info_a.c", CASE WHEN event_id % 3 = 0 THEN '{"q":' || event_id || '}' WHEN event_id % 3 = 1 THEN 'plain' END AS "info_a.mixed"
+  FROM events""")
+def free_extra_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects with different and nested keys, lists, and a key that is an object, a text or not there."""
+    e, id_ = st.read(spark, sf_dir, "events"), F.col("event_id")
+    mixed = F.when(id_ % 3 == 0, F.concat(F.lit('"mixed":{"q":'), id_, F.lit("}"))).when(id_ % 3 == 1, F.lit('"mixed":"plain"'))
+    pair = F.when(id_ % 2 == 0, F.concat(F.lit('"b":"x'), id_, F.lit('","c":[1,'), id_, F.lit("]")))
+    text = F.concat(F.lit('{"k":'), F.get_json_object("props", "$.k"), F.lit(',"a":{'), F.concat_ws(",", pair, mixed), F.lit("}}"))
+    return enrich.extra_info(e.select(id_.alias("market"), F.lit("create market").alias("Activity"), text.alias("extraInfo")))
+
+
 @query("SELECT market, json_extract_string(j, '$.d') AS repaired FROM info", MADE, INFO)
 def json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _markets(spark, sf_dir).where("Activity = 'create market'")

@@ -134,7 +134,7 @@ def transform(config: Config, decoded: dict[str, DataFrame], trace: DataFrame, c
                 df = enrich.contract_sensitive_by(df, maps(f"split_{category}"))
                 if category == "events":
                     df = enrich.token_sensitive(df)
-                    info, types = enrich.extra_info(df, {"info_description": "$.description"}), enrich.market_type(df)
+                    info, types = enrich.extra_info(df), enrich.market_type(df)
                 if info is not None:
                     df = enrich.join_market(enrich.join_market(df, info, null_matches=False), types, null_matches=False)
                 if category == "zero_value_calls":
