@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 #: Columns that the log is built from, as far as a category has them.
 WANTED = ("Activity", "timeStamp", "txHash", "tracePos", "sender", "target", "token", "tokenType_name", "orderId", "orderType", "address", "contract_name", "market", "marketType")
 
@@ -49,16 +51,28 @@ def kind_objects(df: DataFrame, kind: str, order: tuple[str, ...] = ("timeStamp"
 
 
 def ocel_objects(df: DataFrame, order: tuple[str, ...] = ("timeStamp", "tracePos")) -> DataFrame:
-    """All objects in one pass: each step names those it touches, and each is kept once with its first known category. A kind is
-    left out if one of its two columns is missing."""
+    """All objects: each step names those it touches, and each is kept once with its first known category. A kind is left out if
+    one of its two columns is missing.
+
+    What is passed on between tasks is each object once with each of its categories, without the steps' places, and made a table.
+    Places are compared only for objects with several categories, in a second pass over the steps if there are any.
+    """
     have = set(df.columns)
     pairs = [(c, "EOA", F.lit("EOA")) for c in ("sender", "target") if c in have]
     pairs += [(c, kind, F.col(category).cast("string")) for kind, (c, category) in KINDS.items() if {c, category} <= have]
     named = F.array(*[F.struct(F.concat(F.lit(f"{kind}_"), F.col(c).cast("string")).alias("oid"), F.lit(kind).alias("type"), category.alias("category")) for c, kind, category in pairs])
     each = df.select(*[c for c in order if c in have], F.explode(named).alias("o")).where("o.oid IS NOT NULL")
-    place = F.struct(*[c for c in order if c in have], "o.category")
-    first = F.min_by("o.category", F.when(F.col("o.category").isNotNull(), place))
-    return each.groupBy(F.col("o.oid").alias("ocel:oid"), F.col("o.type").alias("ocel:type")).agg(first.alias("category"))
+    keys = [F.col("o.oid").alias("ocel:oid"), F.col("o.type").alias("ocel:type")]
+    known = each.select(*keys, "o.category").distinct().groupBy("ocel:oid", "ocel:type").agg(F.count("category").alias("n"), F.max("category").alias("category"))
+    known = written(known, "objects")
+    settled = known.where("n <= 1").drop("n")
+    several = known.where("n > 1").select("ocel:oid", "ocel:type")
+    if several.isEmpty():
+        return settled
+    place = F.struct(*[c for c in order if c in have], "category")
+    first = F.min_by("category", F.when(F.col("category").isNotNull(), place))
+    placed = each.select("*", *keys, "o.category").drop("o").join(several, ["ocel:oid", "ocel:type"], "left_semi")
+    return settled.unionByName(placed.groupBy("ocel:oid", "ocel:type").agg(first.alias("category")))
 
 
 def ocel_e2o(df: DataFrame) -> DataFrame:

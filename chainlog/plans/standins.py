@@ -15,10 +15,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, orders = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"])
+
+
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A flat trace: hash, step, blockNumber, calltype, from, to, address, callvalue, error, name, ..."""
-    lines, orders = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    df = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"])
+    return _steps(_lines(spark, sf_dir))
+
+
+def _steps(df: DataFrame, *more: str) -> DataFrame:
     contract = F.concat(F.lit("C"), F.col("l_suppkey"))
     event = F.col("l_linestatus") == "O"
     kind = F.when(F.col("l_returnflag") == "R", "CALL").when(F.col("l_returnflag") == "A", "DELEGATECALL").otherwise("CREATE")
@@ -37,6 +44,7 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_linenumber") != 3, F.concat(F.lit("<Function f"), F.col("l_linenumber"), F.lit("(uint256)>"))).alias("name"),
         F.col("l_partkey").alias("token"),
         F.col("l_orderkey").alias("orderId"),
+        *more,
     )
 
 
@@ -93,13 +101,18 @@ def known_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Steps as rows of the event log, with renamed columns and categories of objects from part and supplier."""
-    df = steps(spark, sf_dir).withColumnsRenamed({"hash": "txHash"})
+    """Steps as rows of the event log, with renamed columns and categories of objects from part and supplier.
+
+    Lines are joined as they are, with orders first as they lie together already; the steps' texts are made after that.
+    """
+    event = F.col("l_linestatus") == "O"
+    parts = read(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") > 5, F.col("p_brand")).alias("tokenType_name"))
+    suppliers = read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("contract_name"))
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("__order"), F.col("o_orderpriority").alias("orderType"))
+    lines = _lines(spark, sf_dir).join(orders, F.col("l_orderkey") == F.col("__order"), "left")
+    lines = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"), "left").join(suppliers, F.when(event, F.col("l_suppkey")) == F.col("s_suppkey"), "left")
+    df = _steps(lines, "tokenType_name", "contract_name", "orderType").withColumnsRenamed({"hash": "txHash"})
     df = df.withColumns({"Activity": F.coalesce("calltype", F.lit("event")), "sender": F.col("from"), "target": F.lit(None).cast("string"), "tracePos": F.col("step")})
-    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("token"), F.when(F.col("p_size") > 5, F.col("p_brand")).alias("tokenType_name"))
-    suppliers = read(spark, sf_dir, "supplier").select(F.concat(F.lit("C"), "s_suppkey").alias("address"), F.col("s_name").alias("contract_name"))
-    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("orderId"), F.col("o_orderpriority").alias("orderType"))
-    df = df.join(parts, "token", "left").join(suppliers, "address", "left").join(orders, "orderId", "left")
     market = F.when(F.pmod("token", F.lit(7)) != 0, F.pmod("token", F.lit(50)))
     return df.withColumn("market", market).withColumn("marketType", F.concat(F.lit("m"), F.pmod("market", F.lit(3))))
 
