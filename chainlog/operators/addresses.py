@@ -34,19 +34,23 @@ def as_of(lookups: DataFrame, states: DataFrame, value: str, span: int = 100_000
     """(address, block, value, known): what was last captured of an address at or before a block. lookups: (address, block);
     states: (address, block, value), of which several at one block count as the greatest.
 
-    Captures and lookups are put in one order and the last capture is carried on, within spans of so many blocks; what a span
-    begins with comes from the last captures of the spans before. So a window holds an address's rows of one span, or a row for
-    each of its spans, however often it was captured or is asked for. Lookups that repeat are one; a null address or block has none.
+    Captures and lookups of a span of so many blocks meet in one task, become one row for each block, and the last capture is
+    carried on; what a span begins with comes from the last captures of the spans before. So a window holds a row for each block
+    of an address's span, or for each of its spans, however often it was captured or is asked for. Rows travel and are sorted
+    once, over as many tasks as the session's shuffles have. Lookups that repeat are one; a null address or block has none.
     """
     there = "address IS NOT NULL AND block IS NOT NULL"
-    captures = states.where(there).groupBy("address", "block").agg(F.struct(F.max(value).alias("v")).alias("state"))
-    asked = lookups.where(there).select("address", "block").distinct().withColumn("state", F.lit(None).cast(captures.schema["state"].dataType))
-    rows = captures.withColumn("asked", F.lit(False)).unionByName(asked.withColumn("asked", F.lit(True))).withColumn("span", F.floor(F.col("block") / span))
-    last = rows.groupBy("address", "span").agg(F.max_by("state", F.when(~F.col("asked"), F.col("block"))).alias("state"))
+    captures = states.where(there).select("address", "block", F.struct(F.col(value).alias("v")).alias("state"), F.lit(False).alias("asked"))
+    asked = lookups.where(there).select("address", "block", F.lit(None).cast(captures.schema["state"].dataType).alias("state"), F.lit(True).alias("asked"))
+    tasks = int(states.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = captures.unionByName(asked).withColumn("span", F.floor(F.col("block") / span)).repartition(tasks, "address", "span")
+    latest = F.max(F.when(~F.col("asked"), F.struct("block", "state")))
+    last = rows.groupBy("address", "span").agg(latest["state"].alias("state"))
     before = Window.partitionBy("address").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     starts = last.select("address", "span", F.last("state", ignorenulls=True).over(before).alias("start"))
-    upto = Window.partitionBy("address", "span").orderBy("block", "asked").rowsBetween(Window.unboundedPreceding, 0)
-    found = rows.withColumn("own", F.last("state", ignorenulls=True).over(upto)).where("asked").join(starts, ["address", "span"])
+    each = rows.groupBy("address", "span", "block").agg(F.max("state").alias("state"), F.bool_or("asked").alias("asked"))
+    upto = Window.partitionBy("address", "span").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    found = each.withColumn("own", F.last("state", ignorenulls=True).over(upto)).where("asked").join(starts, ["address", "span"])
     state = F.coalesce("own", "start")
     return found.select("address", "block", state["v"].alias(value), state.isNotNull().alias("known"))
 

@@ -25,3 +25,13 @@ def test_against_a_plain_search(spark, span):
             want.add((a, b, max(codes) if codes else None, bool(at)))
     rows = [tuple(r) for r in got.collect()]
     assert set(rows) == want and len(rows) == len(want)
+
+
+def test_rows_travel_once_and_spread_over_the_session_s_tasks(spark):
+    """Captures and lookups are shuffled together, over a number of tasks that small ones are not merged to fewer of."""
+    states = spark.createDataFrame([(f"a{i % 9}", i, "0x") for i in range(200)], "address string, block long, code string")
+    lookups = states.select("address", (states["block"] + 1).alias("block"))
+    df = as_of(lookups, states, "code", 10)
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2 and df.count() == 200  # the same exchange in both branches
+    assert "hashpartitioning(address" in plan and df._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 1
