@@ -7,12 +7,15 @@
    the threshold, by exact weighted Jaccard. What is linked makes components.
 3. Texts of a bucket that lie in different components after that are held against each other, again by sketches and then
    exactly, in blocks of SMALL against SMALL texts: the bucket's largest component against the rest, and the rest against
-   itself. A bucket of more than LARGE texts is first cut by requiring a second band in common, and then a third.
+   itself. In a bucket of more than LARGE texts, those with a second and a third band in common go first; what these link
+   needs no further comparison, and all the others of the bucket are then held against each other like those of any bucket.
 4. Components of all links are the classes. A class is named by its smallest id.
 
 Only sketches (200 bytes) travel to candidates. A text travels, compressed, once to each block in which its sketch asks for an exact
 comparison. No link is decided by estimate; what an estimate below HOPE rules out reaches the threshold with a
-probability of 2e-6 at most. A pair at 0.8 shares a band with a probability of 0.9996, two bands of 0.996, three of 0.98.
+probability of 2e-6 at most. A pair at 0.8 shares a band with a probability of 0.9996, in buckets of any size. A bucket of texts
+that share their samples but are not alike takes comparisons of sketches that grow with the square of its texts; blocks bound
+the memory of each, and Spark deals them out.
 
 Equal texts are one text before any of this, however many there are. Null and empty texts and texts of spaces have no
 shingles: they are alike to their equals only. Rows with a null id have classes like others; repeated rows too. An empty
@@ -38,7 +41,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 20, 5
 #: The share of samples in common below which a pair is not compared exactly.
 HOPE = 0.6
-#: Texts on either side of a block, and from how many on a bucket is cut by a second and a third band.
+#: Texts on either side of a block, and from how many on a bucket's texts with a second and a third band in common go first.
 SMALL, LARGE = 192, 4096
 CUTS = 2
 #: Keys for which the filters before shuffles of texts have 10 bits each (4 MB); of more keys, more other rows pass.
@@ -203,7 +206,8 @@ def rest_blocks(rest: DataFrame) -> DataFrame:
 
 
 def cut_large(rest: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Buckets of more than LARGE texts by a further band that their texts have in common, CUTS times at most."""
+    """Buckets of more than LARGE texts by a further band that their texts have in common, CUTS times at most. What is alike in the
+    smaller ones goes first; pairs without a further band in common are left to the buckets as they were."""
     for _ in range(CUTS):
         large = rest.where(F.col("size") > LARGE)
         if large.isEmpty():
@@ -226,8 +230,22 @@ def components(profiles: DataFrame, docs: DataFrame, n: int, threshold: float) -
     star = written(block_links(blocks, texts_of(blocks, docs, profiles), n, threshold), "star_links")
     found = connected_components(star, written)
 
-    settled = entries.where("size > 2").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part"), F.array("bucket").alias("keys"))
-    rest = cut_large(written(unsettled(settled), "rest"), profiles)
+    rest = unsettled_in(entries, found)
+    large = rest.where(F.col("size") > LARGE)
+    if not large.isEmpty():
+        found = linked_in(cut_large(large, profiles), found, profiles, docs, n, threshold)
+        rest = unsettled_in(entries, found)
+    return linked_in(rest, found, profiles, docs, n, threshold)
+
+
+def unsettled_in(entries: DataFrame, found: DataFrame) -> DataFrame:
+    """`unsettled` of the components (node, component) that were found so far."""
+    parts = entries.where("size > 2").join(found, "node", "left")
+    return written(unsettled(parts.select("bucket", "node", F.coalesce("component", "node").alias("part"), F.array("bucket").alias("keys"))), "rest")
+
+
+def linked_in(rest: DataFrame, found: DataFrame, profiles: DataFrame, docs: DataFrame, n: int, threshold: float) -> DataFrame:
+    """The components found so far, merged by all links between different ones in buckets of `unsettled`."""
     blocks = written(hopeful_blocks(rest_blocks(rest), profiles), "blocks")
     more = block_links(blocks, texts_of(blocks, docs, profiles), n, threshold)
     whole = lambda x: more.join(found.withColumnRenamed("node", x), x, "left").select(*more.columns, F.coalesce("component", x).alias(x + x))

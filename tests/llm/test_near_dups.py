@@ -204,3 +204,12 @@ def test_frequencies_counted_in_parts(spark, monkeypatch):
         rows = n.pr.profiles(docs, 2, 2, n.pr.Sizes(range=400, least=400))[0].collect()
         found.append({bytes(r["node"]): n.pr.unpack_numbers(bytes(r["dfs"])).tolist() for r in rows})
     assert found[0] == found[1] and max(map(max, found[0].values())) > 15
+
+
+@pytest.mark.parametrize("large", [4096, 1])
+def test_size_of_a_bucket_loses_no_links(spark, monkeypatch, large):
+    """Links of texts with one band in common are found in buckets of any size, even if no two have a further one in common."""
+    rows = list(enumerate(family(9, 90, [1, 3, 5]))) + list(enumerate(texts(4, groups=5), 100))
+    monkeypatch.setattr(n, "LARGE", large)
+    monkeypatch.setattr(n, "cut_large", lambda rest, profiles: rest.where(F.col("size") <= large))
+    assert classes(spark, rows) == Counter(zip([d for d, _ in rows], slow_classes(rows)))
