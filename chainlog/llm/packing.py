@@ -255,12 +255,12 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer, "u4").encode, np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(tokenizer, "u4").encode_all, np.array([end_id], "<u4").tobytes()
 
         def examples() -> Iterator[tuple]:
             for batch in batches:
-                for doc, body in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    yield doc, np.frombuffer(encode(body.as_py() or "") + end, "<u4"), 1
+                for doc, body in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
+                    yield doc, np.frombuffer(body + end, "<u4"), 1
 
         yield from _batches(examples(), limits, cut=True, last=False)
 

@@ -134,7 +134,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, key:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = f"<u{width}"
-        encode, end = encoder(tokenizer, f"u{width}").encode, np.array([end_id], kind).tobytes()
+        encode, end = encoder(tokenizer, f"u{width}").encode_all, np.array([end_id], kind).tobytes()
         fs, folder = file_system(path)
         context = TaskContext.get()
         shard = context.partitionId() if context else 0
@@ -147,12 +147,12 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, key:
                 fs.create_dir(f"{folder}/data", recursive=True)
                 sink = fs.open_output_stream(f"{folder}/data/{name}")
             at = 0
-            texts = batch.column(1)
+            bodies = encode(batch.column(1))
             while at < batch.num_rows:  # some MB at a time
                 ids, datas, size = [], [], 0
                 while at < batch.num_rows and size < READ_BYTES:
                     doc = batch.column(0)[at].as_py()
-                    body = encode(texts[at].as_py() or "") + end
+                    body = next(bodies) + end
                     datas.append(struct.pack(HEAD, doc is not None, width, doc or 0, len(body) // width) + body)
                     ids.append((doc, len(body) // width))
                     size += len(body)
