@@ -30,3 +30,18 @@ def test_without_counterpart_rows_stay(spark):
     got = enrich.join_market(left, right)
     assert got.where("market IS NULL").count() == 201 and got.where("market IS NULL AND d IS NOT NULL").isEmpty()
     assert got.columns == ["i", "market", "d"]
+
+
+def test_written_pairs_are_small(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(enrich, "LEFT_PARTS", 1)
+    monkeypatch.setattr(enrich, "RIGHT_PARTS", 1)
+    left = spark.range(400).select("id", F.lit(None).cast("long").alias("market"))
+    right = spark.range(5000).select(F.lit(None).cast("long").alias("market"), F.concat(F.lit("text "), "id").alias("d"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        enrich.join_market(left, right).write.parquet(str(tmp_path / "out"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.count() == 400 * 5000 == got.select("id", "d").distinct().count()
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 0.3 * 400 * 5000
